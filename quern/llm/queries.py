@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, lines, mixing
+from . import hilbert, langid, lines, mixing, packing
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,8 +14,10 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ppm_language": _over("documents", langid.language_digest),
     "op3_hilbert_shards": _over("documents", hilbert.shard_digest),
     "op6_weighted_fair_mix": _over("documents", mixing.mix_digest),
+    "op9_vector_pack": _over("documents", packing.pack_digest),
     "op10_line_dedup": _over("documents", lines.line_dedup_digest),
 }
 
