@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, langid, lines, mixing, packing
+from . import crf, hilbert, langid, lines, mixing, packing
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.quality_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm_language": _over("documents", langid.language_digest),
     "op3_hilbert_shards": _over("documents", hilbert.shard_digest),
     "op6_weighted_fair_mix": _over("documents", mixing.mix_digest),
+    "op8_crf_quality": _quality,
     "op9_vector_pack": _over("documents", packing.pack_digest),
     "op10_line_dedup": _over("documents", lines.line_dedup_digest),
 }
