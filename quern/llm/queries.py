@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, hilbert, langid, lines, minhash, mixing, packing, sketches
+from . import crf, hilbert, langid, lines, minhash, mixing, packing, pivots, sketches
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm_language": _over("documents", langid.language_digest),
     "op3_hilbert_shards": _over("documents", hilbert.shard_digest),
+    "op4_pivot_links": _over("embeddings", pivots.vector_links),
     "op5_minmax_dedup": _over("documents", minhash.near_duplicates),
     "op6_weighted_fair_mix": _over("documents", mixing.mix_digest),
     "op7_iblt_fingerprints": _over("documents", sketches.version_fingerprints),
