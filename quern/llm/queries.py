@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, hilbert, langid, lines, minhash, mixing, packing, pivots, sketches
+from . import crf, hilbert, langid, lines, minhash, mixing, packing, pivots, sketches, warc
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index_merge": _over("pages", warc.archive_digest),
     "op2_ppm_language": _over("documents", langid.language_digest),
     "op3_hilbert_shards": _over("documents", hilbert.shard_digest),
     "op4_pivot_links": _over("embeddings", pivots.vector_links),
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_index_merge": warc.WARC_SQL,
     "op6_weighted_fair_mix": mixing.MIX_SQL,
     "op10_line_dedup": lines.LINE_DEDUP_SQL,
 }
