@@ -6,12 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
-from .components import connected_components
+from ..scratch import write_table
+from ..operators.components import connected_components
 from .words import shingle_set
 
 #: 60 permutations give 60 least and 60 largest values: 24 bands of 5. A pair
@@ -123,18 +124,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return p.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def compare_blocks(left: pd.DataFrame, right: pd.DataFrame, band: int, percent: int) -> pd.DataFrame:
+    """Links (a, b) between two blocks of a bucket whose ends are in
+    different components: one for each row of `left` and component reached.
+    A pair is met only in the first band that it shares."""
+    bands = np.stack(right["bands"].to_numpy())
+    sets = [np.frombuffer(x, np.uint64) for x in right["set"]]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(sets)), size)[order]
+    ids, component = right["rep"].to_numpy(), right["component"].to_numpy()
+    found: list[tuple] = []
+    for row in left.itertuples():
+        own = np.frombuffer(row.set, np.uint64)
+        n = len(own)
+        ok = (component != row.component) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent)
+        if not ok.any():
+            continue
+        same = bands == np.asarray(row.bands)
+        ok &= same.any(axis=1) & (np.asarray(row.bands)[same.argmax(axis=1)] == band)
+        if not ok.any():
+            continue
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        hits = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+        both = np.bincount(owner[hits], minlength=len(sets))
+        linked = np.flatnonzero(ok & (both * 100 >= (size + n - both) * percent))
+        _, once = np.unique(component[linked], return_index=True)
+        found += [(row.rep, ids[k]) for k in linked[once]]
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _links_within(rows: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All links of open buckets (band, rep, n, component) between different
+    components, bucket by bucket in blocks: whatever a bucket's size, a task
+    holds two blocks, and pairs that do not link leave no row."""
+    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(sets.withColumnRenamed("id", "rep"), "rep").join(classes.select("rep", "bands"), "rep")
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        band, i, j = key
+        a, b = group[group["block"] == i], group[group["block"] == j]
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        return compare_blocks(a, b, band, percent)
+
+    kind = rows.schema["rep"].dataType.simpleString()
+    return rows.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+#: Ids of this many documents, of 8 bytes, are broadcast; more are joined.
+BROADCAST_IDS = 2_000_000
+#: Rows of one bucket that a task compares at a time.
+BLOCK = 1_000
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, stars: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Equal sets are one class, compared once. Classes that share a band are
     candidates; a link needs 100 * intersection >= percent * union of the
-    whole sets. Components need no pair within them: `stars` times, every
-    member of a bucket is compared with one of its members, so a group of
-    copies costs one comparison each; then all pairs of a bucket whose ends
-    are still in different components are compared, whatever their number.
-    So no link between candidates is lost, and no bucket is collected.
+    whole sets. Components need no pair within them: first every member of a
+    bucket is compared with its least, then with its largest member, so a
+    group of copies costs two comparisons each; then, in the buckets of four
+    and more, all pairs whose ends are still in different components, in
+    blocks. So no link between candidates is lost, and no bucket is collected.
 
     Null texts and texts without words have no set and link with nothing.
     Rows that repeat an id are one node and each get its component; rows with
@@ -151,6 +210,8 @@ def near_duplicates(
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
     members = write_table(banded.join(buckets, "band"), "members")
     wanted = members.select(F.col("rep").alias("id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to them
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if signed.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         chosen = texts.join(wanted, "id", "left_semi")
@@ -163,37 +224,36 @@ def near_duplicates(
 
     edges = tried = None
     component = None
-    for turn in range(stars + 1):
+    for turn in ("least", "largest", "all"):
         rows = members
         if component is not None:
             own = component.select(F.col("id").alias("rep"), "component")
             rows = members.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            open_ = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            rows = write_table(rows.join(open_.select("band"), "band"), "open")
+            several = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+            several = several.where("lo < hi" if turn == "largest" else "lo < hi AND m > 3").select("band")
+            rows = write_table(rows.join(several, "band"), "open")
         else:
             rows = rows.withColumn("component", F.col("rep"))
-        if turn < stars:
-            # The centre: the least id first, then one at random.
-            place = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
-            centres = rows.groupBy("band").agg(F.min(F.struct(place.alias("p"), "rep", "n", "component")).alias("c"))
-            centres = centres.select("band", F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
-            pairs = rows.join(centres, "band").select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "b", "nb", "cb")
+        if turn == "all":
+            if rows.isEmpty():
+                continue
+            found = write_table(_links_within(rows, sets, classes, percent), "links")
         else:
-            other = rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = rows.withColumnsRenamed({"rep": "a", "n": "na", "component": "ca"}).join(other, "band").where("a < b")
-        pairs = pairs.where("ca <> cb").where(_similar_sizes("na", "nb", percent))
-        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-        sizes = [F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")]
-        pairs = pairs.select(*ends, *sizes).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = write_table(_verified(pairs, sets, percent), "links")
+            pick = F.min if turn == "least" else F.max
+            centres = rows.groupBy("band").agg(pick(F.struct("rep", "n", "component")).alias("c"))
+            centres = centres.select("band", F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
+            pairs = rows.join(centres, "band").where("component <> cb").where(_similar_sizes("n", "nb", percent))
+            first = F.col("rep") < F.col("b")
+            pairs = pairs.select(
+                F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"),
+                F.when(first, F.col("n")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("n")).alias("nb"),
+            ).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = write_table(pairs, "pairs")
+            tried = pairs.select("a", "b")
+            found = write_table(_verified(pairs, sets, percent), "links")
         edges = found if edges is None else edges.unionAll(found)
-        done = pairs.select("a", "b")
-        tried = done if tried is None else tried.unionAll(done)
         component = write_table(connected_components(edges), "components")
     out = signed.select("doc_id", "n_shingles", "set_key")
     multi = classes.where("copies > 1").select("set_key", "rep")
