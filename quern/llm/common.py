@@ -1,67 +1,17 @@
-"""What the training-data operators share: the shared scratch folder, whole
-tables written to it (which cut lineage), and exact running totals."""
+"""What the training-data operators share: words, sizes and exact running totals."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import partitions, write_table
+
 #: ASCII white space, as `[\x20\x09-\x0D]`, for trim() and in patterns.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_own_shared: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session has none (tests on one machine) is a local one
-    made and set.
-    """
-    global _own_shared
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if place:
-        return place.rstrip("/")
-    if _own_shared is None:
-        _own_shared = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.sparkContext.setCheckpointDir(_own_shared)
-    return _own_shared
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and return a scan of it.
-
-    Lineage ends here, in replicated storage, so a lost executor costs a
-    reread and never a different result (partition ids, sampled bounds and
-    other facts of one execution are frozen with the rows).
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def fold_ascii(col: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(col, UPPER, UPPER.lower())

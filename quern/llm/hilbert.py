@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, utf8_size, write_table
+from ..scratch import write_table
+from .common import running_totals, utf8_size
 
 
 def size_level(size: Column, bits: int) -> Column:

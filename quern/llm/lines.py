@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fold_ascii, write_table
+from ..scratch import write_table
+from .common import SPACES, fold_ascii
 
 
 def line_key(line: Column) -> Column:

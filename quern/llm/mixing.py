@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_totals, words_count, write_table
+from ..scratch import write_table
+from .common import running_totals, words_count
 
 #: The weights that sources take in turn, by code point, null last.
 WEIGHTS = (5, 2, 1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import partitions
+from ..scratch import partitions
 
 #: Cells of the published sketch, in three parts; each retry has 4 times more.
 CELLS, GROWTH = 12, 4

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import minhash, pivots, sketches, warc
-from quern.llm.components import connected_components
+from quern.operators.components import connected_components
 from quern.llm.words import shingle_set
 
 from .cases import awkward, frame

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import crf, minhash, queries
-from quern.llm.common import write_table
+from quern.scratch import write_table
 
 SF = "/root/testdata/sf0.001"
 
