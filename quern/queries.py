@@ -657,7 +657,7 @@ def spine_downset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.downset(e, causal.frontier(e.where("position <= 3"))).select("event")
 
 
-LINEAGE = "arcs AS (SELECT n_nationkey AS id, n_regionkey + 1000 AS parent FROM nation UNION SELECT 2000 + s_suppkey, s_nationkey FROM supplier)"
+LINEAGE = "arcs AS (SELECT n_nationkey::BIGINT AS id, (n_regionkey + 1000)::BIGINT AS parent FROM nation UNION SELECT (2000 + s_suppkey)::BIGINT, s_nationkey::BIGINT FROM supplier)"
 
 
 @query(f"WITH RECURSIVE {LINEAGE}, c(s, t, h) AS (SELECT parent, id, 1 FROM arcs UNION SELECT c.s, a.id, h + 1 FROM c JOIN arcs a ON a.parent = c.t) SELECT s AS source, t AS target, min(h)::INTEGER AS hops FROM c GROUP BY s, t")
@@ -711,7 +711,7 @@ def confidence_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(c, 6).alias("confidence"))
 
 
-@query("""WITH RECURSIVE a AS (SELECT n_nationkey AS id, n_regionkey + 1000 AS parent FROM nation UNION SELECT 2000 + s_suppkey, s_nationkey FROM supplier), n AS (SELECT id, CASE WHEN parent % 2 = 0 THEN 1.0 ELSE 0.0 END AS s FROM a WHERE parent >= 1000 AND parent < 2000)
+@query("""WITH RECURSIVE a AS (SELECT n_nationkey::BIGINT AS id, (n_regionkey + 1000)::BIGINT AS parent FROM nation UNION SELECT (2000 + s_suppkey)::BIGINT, s_nationkey::BIGINT FROM supplier), n AS (SELECT id, CASE WHEN parent % 2 = 0 THEN 1.0 ELSE 0.0 END AS s FROM a WHERE parent >= 1000 AND parent < 2000)
 SELECT a.id, n.s::DOUBLE AS score FROM a JOIN n ON n.id = a.parent UNION ALL SELECT id, s::DOUBLE FROM n UNION ALL SELECT DISTINCT parent, CASE WHEN parent % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE FROM a WHERE parent >= 1000 AND parent < 2000""")
 def support_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = _arcs(spark, sf_dir)
