@@ -304,3 +304,23 @@ def closure(arcs: DataFrame, most: int = 64) -> DataFrame:
         if m == n:
             return known
     raise ValueError("the closure did not settle")
+
+
+def class_census(classes: dict[str, DataFrame]) -> DataFrame:
+    """(a, b, nodes_a, nodes_b, shared, jaccard) for each pair of edge
+    classes: how far they speak of the same nodes."""
+    marks = None
+    for name, e in sorted(classes.items()):
+        part = ends(e.select("u", "v")).select("node", F.lit(name).alias("class")).distinct()
+        marks = part if marks is None else marks.unionAll(part)
+    per = marks.groupBy("node").agg(F.collect_set("class").alias("s"))  # as many as there are classes
+    names = sorted(classes)
+    has = lambda n: F.array_contains("s", n)
+    aggs = [F.count_if(has(n)).alias(f"n_{i}") for i, n in enumerate(names)]
+    combos = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    aggs += [F.count_if(has(names[i]) & has(names[j])).alias(f"b_{i}_{j}") for i, j in combos]
+    row = per.agg(*aggs)
+    entries = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"n_{i}").alias("nodes_a"), F.col(f"n_{j}").alias("nodes_b"), F.col(f"b_{i}_{j}").alias("shared")) for i, j in combos]
+    out = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    union = F.col("nodes_a") + F.col("nodes_b") - F.col("shared")
+    return out.withColumn("jaccard", F.when(union > 0, F.col("shared") / union).otherwise(0.0))

@@ -178,3 +178,34 @@ def purge_blob(raw: DataFrame, catalog: DataFrame, digest: str, confirm: bool) -
     if not catalog.where((F.col("digest") == digest) & F.col("active")).isEmpty():
         raise ValueError(f"{digest} is still referred to")
     return raw.where(F.col("digest") != digest)
+
+
+def attest(actions: DataFrame, known: DataFrame) -> DataFrame:
+    """actions (action, input_hashes, output_hashes, at) as attestations: the
+    id is a digest of the record, parents are the attestations that produced
+    its inputs. Appending goes by id, so a repeated record adds nothing."""
+    rows = actions.withColumn("__row", F.xxhash64("action", "input_hashes", "output_hashes", "at"))
+    made = known.select(F.col("id").alias("__parent"), F.explode("output_hashes").alias("__h"))
+    wants = rows.select("__row", F.explode("input_hashes").alias("__h"))
+    parents = wants.join(made, "__h").groupBy("__row").agg(F.array_sort(F.collect_set("__parent")).alias("derived_from_ids"))
+    out = rows.join(parents, "__row", "left").withColumn("derived_from_ids", F.coalesce("derived_from_ids", F.array().cast("array<string>")))
+    body = F.to_json(F.struct("action", "at", "derived_from_ids", "input_hashes", "output_hashes"))
+    return out.select(F.sha2(body.cast("binary"), 256).alias("id"), "action", "input_hashes", "output_hashes", "derived_from_ids", "at")
+
+
+def generations(archive: DataFrame, table: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Every generation of each key, archived ones first, with its place."""
+    rows = archive.select(*table.columns, F.lit(False).alias("current")).unionByName(table.select("*", F.lit(True).alias("current")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("current", order)))
+
+
+def plan_ids(catalog: DataFrame, minted: DataFrame) -> DataFrame:
+    """(source_path, doc_id, outcome) of a planned migration to minted ids
+    (source_path, new_id), nothing changed: keep, mint, or clash."""
+    rows = catalog.join(minted, "source_path", "left")
+    twice = minted.groupBy("new_id").agg(F.count(F.lit(1)).alias("__n"))
+    held = catalog.select(F.col("doc_id").alias("new_id"), F.col("source_path").alias("__holder"))
+    rows = rows.join(twice, "new_id", "left").join(held, "new_id", "left")
+    clash = (F.col("__n") > 1) | (F.col("__holder").isNotNull() & (F.col("__holder") != F.col("source_path")))
+    outcome = F.when(F.col("new_id").isNull() | (F.col("new_id") == F.col("doc_id")), "keep").when(clash, "clash").otherwise("mint")
+    return rows.select("source_path", F.coalesce("new_id", "doc_id").alias("doc_id"), outcome.alias("outcome"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,12 +106,6 @@ def python_symbols(files: DataFrame) -> DataFrame:
     """(path, digest, qualname, kind, signature, docstring, line_start,
     line_end, imports) of Python sources (path, data); a file that does not
     parse has one row of kind `unparsed`."""
-    import ast
-    import hashlib
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     schema = "path string, digest string, qualname string, kind string, signature string, docstring string, line_start int, line_end int, imports array<string>"
 
     def walk(node, prefix):
@@ -152,3 +151,55 @@ def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, href, n): link targets of pages."""
     hrefs = F.explode(F.regexp_extract_all("html", F.lit(r"href=\"([^\"]*)\""), 1))
     return pages.select("page_id", hrefs.alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
+
+
+def commit_diffs(spark: SparkSession, path: str) -> DataFrame:
+    """(commit_sha, path, old_blob, new_blob) from text files written by
+    `git log --raw --no-renames --no-abbrev --first-parent --format=%H`:
+    a rename is a deletion and an addition; a blob that is not there is null."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"), F.input_file_name().alias("f"))
+    sha = F.last(F.when(F.col("line").rlike("^[0-9a-f]{40}$"), F.col("line")), ignorenulls=True)
+    rows = lines.withColumn("commit_sha", sha.over(Window.partitionBy("f").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where(F.col("line").startswith(":")).select("commit_sha", F.split("line", "[ \t]").alias("c"), F.substring_index("line", "\t", -1).alias("path"))
+    blob = lambda i: F.when(~F.get("c", F.lit(i)).rlike("^0+$"), F.get("c", F.lit(i)))
+    return rows.select("commit_sha", "path", blob(2).alias("old_blob"), blob(3).alias("new_blob"))
+
+
+def golden_set(spark: SparkSession, path: str) -> DataFrame:
+    """(id, query, expected, k) of a JSON file of golden queries."""
+    return spark.read.schema("id STRING, query STRING, expected ARRAY<STRING>, k INT").option("multiLine", True).json(path)
+
+
+def system_vitals(spark: SparkSession) -> DataFrame:
+    """One reading of this host's load, as vitals rows."""
+    import os
+    from datetime import datetime, timezone
+
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    values = list(zip(("load_1m", "load_5m", "load_15m"), os.getloadavg(), strict=True)) + [("cpus", float(os.cpu_count() or 0))]
+    return spark.createDataFrame([(now, m, float(v), "", "host", None) for m, v in values], "ts TIMESTAMP_NTZ, metric STRING, value DOUBLE, unit STRING, source STRING, labels STRING")
+
+
+def code_chunks(files: DataFrame, max_chars: int = 1200, overlap: int = 150) -> DataFrame:
+    """(id, path, layer, qualname, line_start, line_end, text) of Python
+    sources (path, data): doc (a symbol's signature and docstring), body (its
+    source) and window (the whole file in windows). The id hashes the text
+    without its header, so a moved symbol keeps its content hash."""
+    symbols = python_symbols(files).where("kind IN ('class', 'function')")
+    lines = F.split(text.decoded(F.col("data")), "\n")
+    own = symbols.join(files.select("path", lines.alias("l")), "path")
+    body = F.array_join(F.slice("l", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
+    doc = F.when(F.col("docstring") != "", F.concat_ws("\n", "signature", "docstring"))
+    head = F.concat(F.lit("# "), "path", F.lit(" "), "qualname", F.lit("\n"))
+    parts = own.select("path", "qualname", "line_start", "line_end", head.alias("head"), F.explode(F.array(F.struct(F.lit("doc").alias("layer"), doc.alias("text")), F.struct(F.lit("body").alias("layer"), body.alias("text")))).alias("p"))
+    parts = parts.select("path", "p.layer", "qualname", "line_start", "line_end", "head", "p.text").where("text IS NOT NULL")
+
+    @F.pandas_udf("array<string>")
+    def windows(col: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in col:
+            yield s.map(lambda t: text.chunk_windows(t, max_chars, overlap))
+
+    whole = files.select("path", F.explode(windows(text.decoded(F.col("data")))).alias("text"))
+    whole = whole.select("path", F.lit("window").alias("layer"), F.lit("").alias("qualname"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.lit("").alias("head"), "text")
+    rows = parts.unionAll(whole)
+    return rows.select(F.concat_ws(":", "path", "layer", ids.digest(F.col("text"))).alias("id"), "path", "layer", "qualname", "line_start", "line_end", F.concat("head", "text").alias("text"))

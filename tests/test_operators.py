@@ -482,3 +482,57 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = streams.windowed(src.select("ts", F.col("event_type").alias("metric"), "value"), "1 day")
     tidy = lambda df: sorted((r.metric, r.start, r.n, round(r.mean, 6)) for r in df.collect())
     assert tidy(spark.table("w")) == tidy(batch)
+
+
+def test_attestations_and_plans(spark):
+    known = spark.createDataFrame([("p", ["h1"])], "id string, output_hashes array<string>")
+    a = spark.createDataFrame([("act", ["h1", "h9"], ["h2"], "t")], "action string, input_hashes array<string>, output_hashes array<string>, at string")
+    r = merge.attest(a, known).first()
+    assert r.derived_from_ids == ["p"] and len(r.id) == 64 and merge.attest(a, known).first().id == r.id
+    c = spark.createDataFrame([("a", "a"), ("b", "id-b"), ("c", "c"), ("d", "d")], "source_path string, doc_id string")
+    m = spark.createDataFrame([("a", "id-a"), ("c", "id-b"), ("b", "id-b")], "source_path string, new_id string")
+    got = {r.source_path: r.outcome for r in merge.plan_ids(c, m).collect()}
+    assert got["a"] == "mint" and got["b"] == "keep" and got["c"] == "clash" and got["d"] == "keep"
+    t = spark.createDataFrame([("k", "v2", 2)], "k string, ver string, n int")
+    old = spark.createDataFrame([("k", "v1", 1)], "k string, ver string, n int")
+    assert [(x.ver, x.place) for x in merge.generations(old, t, ["k"], "n").orderBy("place").collect()] == [("v1", 1), ("v2", 2)]
+
+
+def test_claim_operations(spark):
+    c = spark.createDataFrame([("a", 0.8, ["x"]), ("b", 0.8, ["x"]), ("c", 0.8, ["x"])], "claim_id string, confidence double, support array<string>")
+    o = spark.createDataFrame([(1, "supersede", "a", "b"), (2, "defeater", "b", "z"), (3, "warrant", "c", "y")], "seq int, kind string, claim_id string, related_id string")
+    assert rows(claims.apply_operations(c, o)) == [("b", 0.4, ["x"]), ("c", 0.8, ["x", "y"])]
+
+
+def test_front_matter(spark):
+    df = spark.createDataFrame([("---\nstatus: draft\nkind: x y\nstatus: final\n---\nbody: no",), ("plain",)], "t string")
+    got = df.select(text.front_matter(F.col("t")).alias("f")).withColumn("e", text.manifest_errors(F.col("f"), ["kind"], {"status": ["final"]})).collect()
+    assert got[0].f == {"status": "draft", "kind": "x y"} and got[0].e == ["status may not be draft"]
+    assert got[1].f == {} and got[1].e == ["missing kind"]
+
+
+def test_git_exports(spark, tmp_path):
+    a, b, z = "a" * 40, "b" * 40, "0" * 40
+    (tmp_path / "raw").write_text(f"{a}\n\n:000000 100644 {z} {b} A\tx y.py\n:100644 000000 {b} {z} D\told.py\n")
+    assert rows(notes.commit_diffs(spark, str(tmp_path / "raw")).select("commit_sha", "path", F.col("old_blob").isNull(), F.col("new_blob").isNull())) == [(a, "old.py", False, True), (a, "x y.py", True, False)]
+    (tmp_path / "log").write_text(f"{a}\t{b} {z}\t2024-01-01T00:00:00Z\tMe\tfeat(x): y\n")
+    r = notes.commit_log(spark, str(tmp_path / "log")).first()
+    assert (r.commit_sha, r.parent, r.type, r.scope) == (a, b, "feat", "x")
+    src = spark.createDataFrame([("m.py", bytearray(b"def f(x):\n    'd'\n    return x\n"))], "path string, data binary")
+    assert {(r.layer, r.qualname) for r in notes.code_chunks(src).collect()} == {("doc", "f"), ("body", "f"), ("window", "")}
+    assert notes.system_vitals(spark).count() == 4
+
+
+def test_conductance_over_time(spark):
+    one = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "u long, v long, w double")
+    two = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0)], "u long, v long, w double")
+    got = {(r.a, r.b): (r.before, round(r.after, 6)) for r in dense.reconnections(one, two).collect()}
+    assert got[0, 2] == (pytest.approx(0.5), 1.5) and set(got) == {(0, 1), (0, 2), (1, 2)}
+    fresh = spark.createDataFrame([(0, 2)], "u long, v long")
+    r = dense.edge_attribution(two, fresh).first()
+    assert (r.u, r.v) == (0, 2) and r.loss == pytest.approx(4.5 - 2.5)
+    assert dense.edge_influence(one, spark.createDataFrame([(0, 2, 1.0)], "u long, v long, w double")).first().shift > 0
+    square = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 3)], "u long, v long")
+    assert [round(r.angle, 6) for r in dense.rotation(square, square).collect()] == [0.0]
+    census = graph.class_census({"x": one, "y": two.where("u = 0")}).first()
+    assert (census.nodes_a, census.nodes_b, census.shared) == (3, 3, 3) and census.jaccard == 1.0
