@@ -264,3 +264,29 @@ def near_duplicates(
     else:
         out = out.withColumn("component_id", F.col("rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1),
+         lambda i: array_to_string(ws[i:i + 4], ' '))) END AS ss FROM w
+), n AS (
+  SELECT doc_id, len(ss) AS n FROM s
+), f AS (
+  SELECT doc_id, unnest(ss) AS sh FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM f a JOIN f b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r(id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other
+), k AS (
+  SELECT id, min(other) AS component_id FROM r GROUP BY id
+)
+SELECT n.doc_id, n.n AS n_shingles, k.component_id, n.doc_id = k.component_id AS kept FROM n JOIN k ON k.id = n.doc_id
+"""

@@ -203,3 +203,22 @@ def _search(same: DataFrame, pivots, floor: float, nearest: int, shared: int) ->
     hits = write_table(hits, "hits")
     found = write_table(hits.groupBy("id").agg(F.sum("links").alias("links")), "found")
     return found, connected_components(hits.select(F.col("id").alias("a"), F.col("root").alias("b")))
+
+
+LINKS_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+    AND len(list_filter(embedding, lambda y: y <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), r(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other
+), k AS (
+  SELECT id, min(other) AS component_id FROM r GROUP BY id
+), c AS (
+  SELECT a, count(*) AS n FROM e GROUP BY a
+)
+SELECT k.id AS vec_id, coalesce(c.n, 0) AS n_links, k.component_id, k.id = k.component_id AS kept FROM k LEFT JOIN c ON c.a = k.id
+"""

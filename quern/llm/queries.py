@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_warc_index_merge": warc.WARC_SQL,
+    "op4_pivot_links": pivots.LINKS_SQL,
+    "op5_minmax_dedup": minhash.NEAR_SQL,
     "op6_weighted_fair_mix": mixing.MIX_SQL,
     "op10_line_dedup": lines.LINE_DEDUP_SQL,
 }
