@@ -108,8 +108,8 @@ def grouped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CHUNKS}, h AS (SELECT digest, min(1 - list_cosine_similarity(vector, {QV})) AS distance FROM c WHERE current GROUP BY digest)
 SELECT digest, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, digest)::INTEGER AS rank FROM h""")
 def ranked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir).where("current")
-    hits = c.withColumn("distance", 1 - vectors.cosine(F.col("vector"), vectors.literal(query_vector(c.sparkSession.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), vectors.doubles(F.col("embedding")).alias("vector"))))))
+    c = chunks(spark, sf_dir)
+    hits = c.where("current").withColumn("distance", 1 - vectors.cosine(F.col("vector"), vectors.literal(query_vector(c))))
     return search.best_per_path(hits, "digest").select("digest", F.round("distance", 6).alias("distance"), "rank")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import schemas
-from quern.functions import ids, scoring, text, vectors
+from quern.functions import ids, text, vectors
 from quern.linalg import components as dense
 from quern.linalg import kernels
 from quern.operators import causal, claims, graph, ledger, merge, metrics, pairs, reconcile, search, views
