@@ -1,8 +1,5 @@
-import hashlib
-import math
 from collections import Counter, defaultdict
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 

@@ -1,6 +1,5 @@
 import math
 import random
-import zlib
 from collections import Counter, defaultdict
 from itertools import product
 
