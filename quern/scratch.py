@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; only where there is none (tests on
     one machine) is a local folder made and set."""
     global _own_shared
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if place:
         return place.rstrip("/")
     if _own_shared is None:
