@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import write_table
 from .langid import in_fold
 from .packing import in_chunks
 
@@ -215,21 +216,24 @@ def fit_field(x: np.ndarray, size: np.ndarray, bounds: np.ndarray, label: np.nda
     return field
 
 
-def learn_field(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs: int = LEARN_DOCS) -> LineField | None:
-    """A field from a bounded sample of rows with a 0/1 label: by a hash of
-    the id, about `docs` whole documents of the rarer label and as many times
-    more of the other as it is commoner, up to 4 (all, where there are no
-    more). Line features are made in tasks; the driver fits on them. None
-    unless both labels occur."""
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+def learn_field(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_docs: int = LEARN_DOCS) -> LineField | None:
+    """A field from a bounded sample of docs with a 0/1 label in `known`
+    (doc_id, y): by a hash of the id, about n_docs whole documents of the
+    rarer label and as many times more of the other as it is commoner, up to
+    4 (all, where there are no more). Ids are joined to choose the sample;
+    its ids, so few by the bound, are broadcast to the texts. Line features
+    are made in tasks; the driver fits on them. None unless both labels occur."""
+    has = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"))
+    rows = write_table(has.join(known.where("y IN (0, 1)"), "doc_id").select("doc_id", F.col("y").cast("int").alias("y")), "labelled")
     found = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(found) < 2:
         return None
-    rate = min(1.0, docs / min(found.values()))
-    share = {y: min(rate, 4 * docs / n) for y, n in found.items()}
-    unit = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(1 << 30)
-    chosen = rows.where(unit < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select("y", "text")
+    rate = min(1.0, n_docs / min(found.values()))
+    share = {y: min(rate, 4 * n_docs / n) for y, n in found.items()}
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    sample = rows.where(unit < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).dropDuplicates(["doc_id"])
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    chosen = chosen.join(F.broadcast(sample), "doc_id").select("y", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,11 +276,11 @@ def score_quality(docs: DataFrame, field: LineField | None, text_col: str = "tex
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def learned_from(docs: DataFrame, labels: DataFrame, held_out: Column, docs_per_label: int = LEARN_DOCS) -> LineField | None:
-    """The field fitted on the labelled rows of docs that are not held out.
-    Only the ids of labelled rows are joined before texts are read."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return learn_field(docs.select("doc_id", "text").join(known, "doc_id"), docs=docs_per_label)
+def learned_from(docs: DataFrame, labels: DataFrame, held_out: Column, n_docs: int = LEARN_DOCS) -> LineField | None:
+    """The field fitted on the labelled rows of docs that are not held out;
+    of several labels of a document the largest counts."""
+    known = labels.where(F.col("quality").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    return learn_field(docs, known, n_docs=n_docs)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
