@@ -44,6 +44,7 @@ def drop_shared_lines(
     lines = lines.where(F.char_length("key") >= min_key).select("__q_id", "__q_row", "pos", _digest(F.col("key")).alias("h"))
     lines = write_table(lines, "lines")
     shared = lines.select("h", "__q_id").distinct().groupBy("h").count().where(F.col("count") >= min_docs).select("h")
+    shared = write_table(shared, "shared")  # a side of its own, so that a hot hash's lines can be split
     gone = lines.join(shared, "h", "left_semi")
     gone = gone.groupBy("__q_id", "__q_row").agg(F.collect_set("pos").alias("__q_gone"))
     gone = gone.select(F.col("__q_id").alias("__q_gid"), F.col("__q_row").alias("__q_grow"), "__q_gone")

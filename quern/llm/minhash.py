@@ -208,6 +208,9 @@ def near_duplicates(
     classes = write_table(classes, "classes")
     banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    # What is joined on a band is a table of its own, so that Spark can
+    # broadcast it when small and split a hot bucket's rows when not.
+    buckets = write_table(buckets, "buckets")
     members = write_table(banded.join(buckets, "band"), "members")
     wanted = members.select(F.col("rep").alias("id")).distinct()
     if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to them
@@ -231,7 +234,7 @@ def near_duplicates(
             rows = members.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             several = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
             several = several.where("lo < hi" if turn == "largest" else "lo < hi AND m > 3").select("band")
-            rows = write_table(rows.join(several, "band"), "open")
+            rows = write_table(rows.join(write_table(several, "several"), "band"), "open")
         else:
             rows = rows.withColumn("component", F.col("rep"))
         if turn == "all":
@@ -242,7 +245,7 @@ def near_duplicates(
             pick = F.min if turn == "least" else F.max
             centres = rows.groupBy("band").agg(pick(F.struct("rep", "n", "component")).alias("c"))
             centres = centres.select("band", F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
-            pairs = rows.join(centres, "band").where("component <> cb").where(_similar_sizes("n", "nb", percent))
+            pairs = rows.join(write_table(centres, "centres"), "band").where("component <> cb").where(_similar_sizes("n", "nb", percent))
             first = F.col("rep") < F.col("b")
             pairs = pairs.select(
                 F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"),
