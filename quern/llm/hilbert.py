@@ -92,6 +92,7 @@ def hilbert_shards(
     out = base
     for i, _ in enumerate(dims):
         levels = rank_levels(base.select(f"__q_{i}"), f"__q_{i}", bits).withColumnsRenamed({"value": "__q_v", "level": f"dim_{i}"})
+        levels = write_table(levels, "levels")  # a side of its own, so that a hot value's rows can be split
         out = out.join(levels, F.col(f"__q_{i}").eqNullSafe(F.col("__q_v")), "left").drop("__q_v", f"__q_{i}")
     out = out.withColumn(f"dim_{len(dims)}", size_level(F.col("size") - 8, bits))
     names = [f"dim_{i}" for i in range(len(dims) + 1)]

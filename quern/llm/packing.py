@@ -16,7 +16,7 @@ CHUNK_CHARS = 1_000_000
 #: Words, and their characters, that an encoder remembers before it starts anew.
 MEMO_WORDS, MEMO_CHARS = 400_000, 16_000_000
 #: Tokens that wait in a task for a partner; bounds its memory.
-WINDOW_TOKENS = 2_000_000
+WINDOW_TOKENS = 500_000
 
 PIECE_SCHEMA = (
     "doc_id {id}, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -41,29 +41,93 @@ class WordEncoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # one character a byte, besides the mark of a word's end
+            self.width[i] = len(token.removesuffix("</w>"))
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.chars = 0
         self.ids = np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.first, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.chars = 0
 
-    def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
-        first = len(self.ids) + np.cumsum(size) - size
-        self.index.update(zip(words, range(len(self.first), len(self.first) + len(words)), strict=True))
+    def forget(self) -> None:
+        """Keep the words that came again since the last time."""
+        words, again = list(self.index), np.flatnonzero(self.used >= 2)
+        if len(again) > MEMO_WORDS // 2 or self.chars > 2 * MEMO_CHARS:
+            self.clear()
+            return
+        ids = [self.ids[a : a + n] for a, n in zip(self.first[again], self.size[again], strict=True)]
+        kept, size = [words[i] for i in again], self.size[again]
+        self.clear()
+        self.store(kept, np.concatenate([self.ids, *ids]), size)
+
+    def store(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.ids = np.concatenate([self.ids, ids])
+        self.size = np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
         self.chars += sum(map(len, words))
-        self.ids, self.first, self.size = (
-            np.concatenate(p) for p in ((self.ids, flat), (self.first, first), (self.size, size))
-        )
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places of the memo, and where each ends."""
+        size = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        within = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
+        return self.ids[np.repeat(self.first[at], size) + within], upto
+
+    def learn(self, words: list[str]) -> None:
+        """Learn new words. One in capitals, or with a full stop or comma
+        after a letter or digit, is made of known parts; the rest is encoded."""
+        known = self.index
+        made, stems, tails, whole = [], [], [], []
+        for w in words:
+            stem = w.lower() if w.isascii() and "|" not in w else w
+            if stem[-1:] in (".", ",") and stem[-2:-1].isalnum() and stem.isascii():
+                tails.append(stem[-1])
+                stem = stem[:-1]
+            elif stem == w:
+                whole.append(w)
+                continue
+            else:
+                tails.append("")
+            made.append(w)
+            stems.append(stem)
+        self.encode_new([k for k in dict.fromkeys([*whole, *stems, ".", ",", ""]) if k not in known])
+        if made:  # a word of the list may also be the stem of another
+            both = [x for w, s, t in zip(made, stems, tails, strict=True) if w not in known for x in (s, t)]
+            made = [w for w in made if w not in known]
+            ids, upto = self.gather(np.fromiter(map(known.__getitem__, both), np.int64, len(both)))
+            self.store(made, ids, np.diff(upto[::2]))
+
+    def encode_new(self, words: list[str]) -> None:
+        """Encode words joined by blanks in one text, which is several times
+        faster than one by one. Every token stands for some bytes of the
+        normalised text, and together a word's tokens for all its bytes; so
+        running byte lengths find the words' tokens. Words with a special
+        token's text are encoded alone."""
+        odd = [w for w in words if "<|" in w]
+        plain = [w for w in words if "<|" not in w]
+        normal = self.tokenizer.normalizer.normalize_str
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo : lo + 2000]
+            width = np.fromiter((len(w) if w.isascii() and w.isprintable() else len(normal(w).replace(" ", "").encode()) for w in part), np.int64, len(part))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            upto = np.concatenate([[0], np.cumsum(self.width[ids])])
+            at = np.searchsorted(upto, np.concatenate([[0], np.cumsum(width)]))
+            if upto[at[-1]] != upto[-1] or (upto[at[1:]] != np.cumsum(width)).any():
+                raise ValueError("the tokens of a text do not add up to its bytes")
+            self.store(part, ids, np.diff(at))
+        if odd:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            self.store(odd, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > MEMO_WORDS or self.chars > MEMO_CHARS:
-            self.clear()
+            self.forget()
         words: list[str] = []
         ends = []
         for t in texts:
@@ -75,10 +139,8 @@ class WordEncoder:
         if len(missed):
             self.learn(list(dict.fromkeys(words[i] for i in missed)))
             at[missed] = [self.index[words[i]] for i in missed]
-        size = self.size[at]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        within = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
-        ids = self.ids[np.repeat(self.first[at], size) + within]
+        self.used += np.bincount(at, minlength=len(self.used))
+        ids, upto = self.gather(at)
         bounds = upto[np.array([0, *ends], np.int64)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
@@ -242,6 +304,7 @@ def pack_examples(
         if kind is not None:
             packer.fill(last=True)
             yield batch()
+        enc.forget()  # what came once; the worker may go on to other work
 
     return rows.mapInArrow(pack, schema)
 

@@ -69,7 +69,8 @@ def capture_records(
     )
     large = rows.where(F.col("payload_bytes") >= min_revisit_bytes)
     firsts = large.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where("n > 1").drop("n")
+    # A table of its own: small ones are broadcast, else a hot digest is split.
+    firsts = write_table(firsts.where("n > 1").drop("n"), "firsts")
     joined = rows.join(firsts, ["payload_digest", "payload_bytes"], "left")
     refers = F.when(F.col("id") != F.col("first"), F.col("first"))
     return joined.select("id", "url", "urlkey", "captured", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))

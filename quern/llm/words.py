@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words, and their bytes, that a worker remembers before it starts anew.
-MEMO_WORDS, MEMO_BYTES = 500_000, 24_000_000
+MEMO_WORDS, MEMO_BYTES = 200_000, 10_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
