@@ -19,6 +19,18 @@ from .words import shingle_set
 #: of similarity 0.85 shares a band with probability 1 - (1 - 0.85**5)**24,
 #: all but one in a million.
 PERMUTATIONS, ROWS = 60, 5
+#: Lower similarities take shorter bands, so that no more pairs are missed.
+MISSED = 1e-6
+
+
+def band_rows(percent: int, permutations: int = PERMUTATIONS) -> int:
+    """The longest band, of ROWS at most, with which a pair at the threshold
+    misses all bands with a probability of MISSED at most; 1 if none has."""
+    for rows in range(ROWS, 1, -1):
+        bands, rest = divmod(2 * permutations, rows)
+        if not rest and (1 - (percent / 100) ** rows) ** bands <= MISSED:
+            return rows
+    return 1
 
 
 def _permutations(n: int, seed: int = 20240607) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +73,7 @@ def _batches(sizes: Iterator[int] | list[int], most: int = 150_000) -> Iterator[
         yield first, n
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, band: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands): the size of each row's shingle
     set, a 128-bit digest of the whole set, and its band keys (null if empty)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -77,7 +89,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys: list[bytes | None] = [None] * len(sets)
                 bands: list[np.ndarray | None] = [None] * len(sets)
                 if full:
-                    for i, row in zip(full, minmax_bands([sets[i] for i in full]), strict=True):
+                    for i, row in zip(full, minmax_bands([sets[i] for i in full], rows=band), strict=True):
                         keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                         bands[i] = row
                 yield pa.RecordBatch.from_arrays(
@@ -189,7 +201,8 @@ def near_duplicates(
 
     Equal sets are one class, compared once. Classes that share a band are
     candidates; a link needs 100 * intersection >= percent * union of the
-    whole sets. Components need no pair within them: first every member of a
+    whole sets, and the bands are as long as `percent` allows (band_rows).
+    Components need no pair within them: first every member of a
     bucket is compared with its least, then with its largest member, so a
     group of copies costs two comparisons each; then, in the buckets of four
     and more, all pairs whose ends are still in different components, in
@@ -200,7 +213,7 @@ def near_duplicates(
     a null id link with nothing, have a null component and are kept. Other
     columns are left out. An empty table gives an empty one.
     """
-    signed = write_table(signatures(docs, id_col, text_col, width), "signed")
+    signed = write_table(signatures(docs, id_col, text_col, width, band_rows(percent)), "signed")
     linked = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = linked.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")

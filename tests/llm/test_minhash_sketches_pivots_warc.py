@@ -87,6 +87,31 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("percent", "edits"), [(80, (4, 5)), (60, (9, 10))])
+def test_near_duplicates_at_lower_similarities(spark, percent, edits):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(200)]
+        other = list(words)
+        for at in rng.sample(range(4, 196, 10), edits[g % 2]):  # apart, so that each edit takes five shingles
+            other[at] = f"e{g}x{at}"
+        a, b = " ".join(words), " ".join(other)
+        near = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert (near >= percent / 100) == (g % 2 == 0) and near < percent / 100 + 0.05
+        rows += [(2 * g, a, *[None] * 6), (2 * g + 1, b, *[None] * 6)]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + g % 2}
+    got = minhash.near_duplicates(frame(spark, rows), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_bands_miss_one_pair_in_a_million_at_most():
+    assert minhash.band_rows(85) == minhash.ROWS
+    for percent in range(50, 100, 5):
+        rows = minhash.band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (2 * minhash.PERMUTATIONS // rows) <= 1e-6
+
+
 def test_signature_estimates_similarity_without_bias():
     rng = random.Random(4)
     words = [f"a{i}" for i in range(400)]
