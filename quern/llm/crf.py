@@ -175,10 +175,13 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_field(x: np.ndarray, size: np.ndarray, bounds: np.ndarray, label: np.ndarray, steps: int = 120) -> LineField:
+def fit_field(
+    x: np.ndarray, size: np.ndarray, bounds: np.ndarray, label: np.ndarray, steps: int = 120, weight: np.ndarray | None = None
+) -> LineField:
     """Maximum likelihood by gradient ascent (Adam), every line taking its
     document's label, each document weighing as one line of its label's share;
-    then the aggregated marginals are calibrated on the same documents."""
+    then the aggregated marginals are calibrated on the same documents, each
+    counting `weight` times there (once by default)."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     full = with_neighbours((x - mean) / spread, bounds)
     n = np.diff(bounds)
@@ -202,11 +205,13 @@ def fit_field(x: np.ndarray, size: np.ndarray, bounds: np.ndarray, label: np.nda
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     field = LineField(mean, spread, theta[:-4], theta[-4:].reshape(2, 2), 1.0, 0.0)
     z = _logit(field.raw(x, size, bounds))
+    times = np.ones(len(label)) if weight is None else weight
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps for the two calibration parameters
         p = 1 / (1 + np.exp(-(a * z + b)))
-        g = np.array([((label - p) * z).sum() - 0.01 * (a - 1), (label - p).sum() - 0.01 * b])
-        h = p * (1 - p)
+        off = times * (label - p)
+        g = np.array([(off * z).sum() - 0.01 * (a - 1), off.sum() - 0.01 * b])
+        h = times * p * (1 - p)
         hess = np.array([[(h * z * z).sum() + 0.01, (h * z).sum()], [(h * z).sum(), h.sum() + 0.01]])
         d = np.linalg.solve(hess, g)
         a, b = a + d[0], b + d[1]
@@ -220,7 +225,9 @@ def learn_field(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     """A field from a bounded sample of docs with a 0/1 label in `known`
     (doc_id, y): by a hash of the id, about n_docs whole documents of the
     rarer label and as many times more of the other as it is commoner, up to
-    4 (all, where there are no more). Ids are joined to choose the sample;
+    4 (all, where there are no more). In the calibration each counts for the
+    documents of its label that it stands for, so that scores keep the labels'
+    ratio in the whole table. Ids are joined to choose the sample;
     its ids, so few by the bound, are broadcast to the texts. Line features
     are made in tasks; the driver fits on them. None unless both labels occur."""
     has = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"))
@@ -252,7 +259,9 @@ def learn_field(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     x = np.concatenate([np.frombuffer(r[1], np.float64).reshape(-1, BASE_FEATURES) for r in got])
     sizes = [np.frombuffer(r[2], np.int64) for r in got]
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
-    return fit_field(x, np.concatenate(sizes), bounds, np.array([r[0] for r in got]))
+    label = np.array([r[0] for r in got])
+    weight = np.where(label == 1, 1 / share[1], 1 / share[0])
+    return fit_field(x, np.concatenate(sizes), bounds, label, weight=weight)
 
 
 def score_quality(docs: DataFrame, field: LineField | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

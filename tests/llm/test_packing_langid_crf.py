@@ -189,3 +189,23 @@ def test_quality_of_awkward_rows(spark):
     assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
     assert {r.score for r in crf.quality_digest(docs, labels.limit(0)).collect()} == {0.5}
     assert crf.quality_digest(frame(spark, []), labels).count() == 0
+
+
+def test_scores_keep_the_ratio_of_the_labels_when_sampled(spark):
+    """Overlapping classes, 12 good to 1 bad: a bounded sample must not move
+    the mean score of a whole table off its share of good documents."""
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for i in range(5200):
+        good = i % 13 != 0
+        junk = rng.random(6) < (0.35 if good else 0.65)
+        rows.append((i, "\n".join("### $$$ ||| !!! 123" if j else "Some plain words make a line." for j in junk), *[None] * 6))
+        labels.append((i, int(good)))
+    docs = frame(spark, rows)
+    known = spark.createDataFrame(labels, "doc_id long, y int")
+    texts = [r[1] for r in rows]
+    whole = crf.learn_field(docs, known, n_docs=5200).scores(texts)
+    part = crf.learn_field(docs, known, n_docs=150).scores(texts)
+    assert whole.mean() == pytest.approx(12 / 13, abs=0.005)
+    assert part.mean() == pytest.approx(12 / 13, abs=0.015)
+    assert np.mean((whole >= 0.7) == (part >= 0.7)) >= 0.95
