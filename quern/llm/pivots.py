@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
@@ -107,8 +108,8 @@ def vector_links(
 ) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    Equal vectors under a label are one class. A bounded sample of classes
-    (pivot_count, by hash) are the pivots; every class is described by its
+    Equal vectors under a label are one class. Of the classes of each length a
+    bounded sample (pivot_count, by hash) are the pivots; every class is described by its
     `nearest` ones and posted in the inverted lists of all but the shared - 1
     commonest of them, which two vectors that share `shared` pivots cannot
     both miss. Lists are cut into blocks and every pair of blocks is one
@@ -118,8 +119,8 @@ def vector_links(
     vectors have cosine 1 and are counted without comparing.
 
     Vectors that are null, zero, or hold null or non-finite parts, and rows
-    without a label or id, link with nothing. Vectors of other lengths than
-    the commonest link by equality only. Rows that repeat an id count as rows
+    without a label or id, link with nothing. Vectors of different lengths
+    do not link; each length has lists of its own. Rows that repeat an id count as rows
     of their own. Without label_col all rows are comparable. Other columns
     are left out; an empty table gives an empty one.
     """
@@ -132,16 +133,12 @@ def vector_links(
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec")
     )
-    classes = write_table(classes, "classes")
-    widths = classes.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
+    classes = write_table(classes.withColumn("width", F.size("vec")), "classes")
+    widths = {r["width"]: r["count"] for r in classes.groupBy("width").count().where("count > 1").collect()}
     found = component = None
     if widths:
-        same = classes.where(F.size("vec") == widths[0]["w"])
-        n = widths[0]["count"]
-        wanted = pivot_count(n)
-        sample = same.orderBy(F.xxhash64("key")).limit(wanted).select("vec").collect()
-        pivots = spark.sparkContext.broadcast(unit(np.array([r["vec"] for r in sample])))
-        found, component = _search(same, pivots, floor, min(nearest, len(sample)), min(shared, len(sample)))
+        pivots = spark.sparkContext.broadcast(_pivots(classes, widths))
+        found, component = _search(classes.where(F.col("width").isin(list(widths))), pivots, floor, nearest, shared)
     out = rows.select("id", "key").join(classes.select("key", F.col("id").alias("rep"), "copies"), "key", "left")
     if found is not None:
         out = out.join(found.select(F.col("id").alias("rep"), "links"), "rep", "left")
@@ -157,49 +154,81 @@ def vector_links(
     )
 
 
+def _pivots(classes: DataFrame, widths: dict[int, int]) -> dict[int, np.ndarray]:
+    """Pivots of every length: the classes with the least hashes, ranked
+    among about twice as many as are wanted."""
+    spark = classes.sparkSession
+    wanted = spark.createDataFrame([(w, pivot_count(n), 2.0 * pivot_count(n) / n) for w, n in widths.items()], "width int, wanted int, share double")
+    place = F.row_number().over(Window.partitionBy("width").orderBy("h", "key"))
+    sample = classes.select("width", "key", "vec", F.xxhash64("key").alias("h")).join(F.broadcast(wanted), "width")
+    sample = sample.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")).withColumn("place", place).where("place <= wanted")
+    found: dict[int, list] = {}
+    for r in sample.select("width", "place", "vec").orderBy("width", "place").collect():
+        found.setdefault(r["width"], []).append(r["vec"])
+    return {w: unit(np.array(v)) for w, v in found.items()}
+
+
 def _search(same: DataFrame, pivots, floor: float, nearest: int, shared: int) -> tuple[DataFrame, DataFrame]:
-    """(id, links) and (id, component) of classes with a link."""
-    posted = nearest - shared + 1
+    """(id, links) and (id, component) of classes with a link; pivots are
+    broadcast by length."""
+
+    def fit(width: int) -> tuple[int, int]:
+        n = len(pivots.value[width])
+        return min(nearest, n), min(shared, n)
+
+    def by_width(values: pd.Series, width: np.ndarray, f: Callable[[np.ndarray, int], np.ndarray]) -> pd.Series:
+        out = np.empty(len(values), object)
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            for i, row in zip(at, f(np.stack(values.iloc[at].to_numpy()), int(w)), strict=True):
+                out[i] = row.astype(np.int32)
+        return pd.Series(out, index=values.index)
 
     @F.pandas_udf("array<int>")
-    def nearest_pivots(vec: pd.Series) -> pd.Series:
-        return pd.Series(list(describe(np.stack(vec.to_numpy()), pivots.value, nearest).astype(np.int32)), index=vec.index)
+    def nearest_pivots(vec: pd.Series, width: pd.Series) -> pd.Series:
+        return by_width(vec, width.to_numpy(), lambda v, w: describe(v, pivots.value[w], fit(w)[0]))
 
     # Counts go with the lists' labels; rarer lists come first in the order.
-    told = write_table(same.select("id", "copies", "label", "vec", nearest_pivots("vec").alias("pivots")), "told")
-    usage = told.select(F.explode("pivots").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    order = {r["p"]: i for i, r in enumerate(usage.orderBy("n", "p").collect())}  # one row per pivot
-    ranks = same.sparkSession.sparkContext.broadcast(np.array([order.get(p, -1) for p in range(len(pivots.value))], np.int32))
+    told = write_table(same.select("id", "copies", "label", "width", "vec", nearest_pivots("vec", "width").alias("pivots")), "told")
+    usage = told.select("width", F.explode("pivots").alias("p")).groupBy("width", "p").agg(F.count(F.lit(1)).alias("n"))
+    order = {w: np.full(len(v), -1, np.int32) for w, v in pivots.value.items()}
+    for i, r in enumerate(usage.orderBy("n", "p").collect()):  # one row per pivot
+        order[r["width"]][r["p"]] = i
+    ranks = same.sparkSession.sparkContext.broadcast(order)
 
     @F.pandas_udf("array<int>")
-    def post(p: pd.Series) -> pd.Series:
-        p = np.stack(p.to_numpy())
-        return pd.Series(list(np.take_along_axis(p, np.argsort(ranks.value[p], axis=1, kind="stable"), 1)[:, :posted]))
+    def post(p: pd.Series, width: pd.Series) -> pd.Series:
+        def first(q: np.ndarray, w: int) -> np.ndarray:
+            k, both = fit(w)
+            return np.take_along_axis(q, np.argsort(ranks.value[w][q], axis=1, kind="stable"), 1)[:, : k - both + 1]
+
+        return by_width(p, width.to_numpy(), first)
 
-    posts = told.withColumn("posted", post("pivots"))
+    posts = told.withColumn("posted", post("pivots", "width"))
     lists = posts.withColumn("pivot", F.explode("posted"))
-    sizes = lists.groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    lists = lists.join(sizes, ["label", "pivot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = lists.groupBy("label", "width", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    lists = lists.join(sizes, ["label", "width", "pivot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     lists = lists.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lists = lists.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, pivot, i, j = key
+        _, width, pivot, i, j = key
         group = group.sort_values("id", ignore_index=True)
-        rank = ranks.value
+        rank = ranks.value[width]
+        both = fit(width)[1]
         group["rank"] = int(rank[pivot])
         group["ranks"] = list(rank[np.stack(group["posted"].to_numpy())])
         if i == j:
-            return compare_lists(group, None, pivot, shared, floor)
+            return compare_lists(group, None, pivot, both, floor)
         a, b = group[group["block"] == i], group[group["block"] == j]
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "links": [], "root": []})
-        return compare_lists(a.reset_index(drop=True), b.reset_index(drop=True), pivot, shared, floor)
+        return compare_lists(a.reset_index(drop=True), b.reset_index(drop=True), pivot, both, floor)
 
     kind = same.schema["id"].dataType.simpleString()
-    hits = lists.select("id", "copies", "vec", "pivots", "posted", "label", "pivot", "block", "i", "j")
-    hits = hits.groupBy("label", "pivot", "i", "j").applyInPandas(compare, f"id {kind}, links long, root {kind}")
+    hits = lists.select("id", "copies", "vec", "pivots", "posted", "label", "width", "pivot", "block", "i", "j")
+    hits = hits.groupBy("label", "width", "pivot", "i", "j").applyInPandas(compare, f"id {kind}, links long, root {kind}")
     hits = write_table(hits, "hits")
     found = write_table(hits.groupBy("id").agg(F.sum("links").alias("links")), "found")
     return found, connected_components(hits.select(F.col("id").alias("a"), F.col("root").alias("b")))

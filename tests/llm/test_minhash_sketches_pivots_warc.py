@@ -226,6 +226,23 @@ def test_pivot_recall(spark):
     assert 0.98 * true <= found <= true
 
 
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(14)
+    rows, want = [], {}
+    for width, groups in ((16, 40), (24, 15), (3, 1), (5, 1)):
+        for _ in range(groups):
+            centre, first = rng.normal(size=width), len(rows)
+            size = 1 if width == 3 else 4
+            for _ in range(size):
+                want[len(rows)] = (size - 1, first)
+                rows.append((len(rows), (centre + rng.normal(size=width) * 0.02).tolist(), 1))
+    out = pivots.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    v = [np.array(r[1]) / np.linalg.norm(r[1]) for r in rows]
+    links = [sum(i != j and len(a) == len(b) and a @ b >= 0.98 for j, b in enumerate(v)) for i, a in enumerate(v)]
+    assert [w[0] for w in want.values()] == links
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+
+
 def test_loser_tree_merges_any_runs():
     rng = random.Random(7)
     for k in range(9):
