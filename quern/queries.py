@@ -439,7 +439,7 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT source, sha256('theme' || '‖' || '["' || array_to_string(list_sort(list(DISTINCT lang)), '","') || '"]' || '‖' || 'neutral') AS claim_id FROM documents GROUP BY source""")
 def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list("lang").alias("s"))
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("s"))
     return d.select("source", ids.claim_id(F.lit("theme"), F.col("s"), F.lit("neutral")).alias("claim_id"))
 
 
@@ -520,9 +520,13 @@ def golden_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH g AS (SELECT source, list(doc_id ORDER BY doc_id) AS r, list(doc_id ORDER BY n_chars, doc_id) AS e FROM documents GROUP BY source)
 SELECT source, round(len(list_intersect(e[1:5], r[1:10])) / 5.0, 6) AS recall, round(len(list_intersect(e[1:10], r[1:10])) / len(list_distinct(list_concat(e[1:10], r[1:10])))::DOUBLE, 6) AS overlap FROM g""")
 def recall_and_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.array_sort(F.collect_list("doc_id")).alias("r"), F.transform(F.array_sort(F.collect_list(F.struct("n_chars", "doc_id"))), lambda s: s["doc_id"]).alias("e")
-    )
+    # Ten rows a source and order are all that counts; each task keeps no more of them.
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("source").orderBy(*by))
+    first = d.where("doc_id IS NOT NULL").withColumn("at", rank("doc_id")).where("at <= 10").withColumn("kind", F.lit("r"))
+    first = first.unionAll(d.withColumn("at", rank("n_chars", "doc_id")).where("at <= 10").withColumn("kind", F.lit("e")))
+    picked = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "doc_id")))), lambda s: s["doc_id"])
+    d = first.groupBy("source").agg(picked("r").alias("r"), picked("e").alias("e"))
     return d.select("source", F.round(metrics.recall_at_k(F.slice("e", 1, 5), F.col("r"), 10), 6).alias("recall"), F.round(metrics.overlap_at_k(F.col("e"), F.col("r"), 10), 6).alias("overlap"))
 
 

@@ -37,3 +37,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_source_is_collected_whole(spark):
+    def plan(name):
+        return queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+    assert "collect_list" not in plan("claim_ids")
+    assert plan("recall_and_overlap").count("WindowGroupLimit") >= 4  # for both orders, before and after the shuffle
