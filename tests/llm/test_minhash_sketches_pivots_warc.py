@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -218,29 +219,84 @@ def test_pivot_recall(spark):
     for c in range(60):
         centre = rng.normal(size=64)
         rows += [(c * 20 + i, (centre + rng.normal(size=64) * 0.1).tolist(), 1) for i in range(20)]
-    v = np.array([r[1] for r in rows])
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    true = (np.triu(v @ v.T >= 0.98, 1)).sum()
+    true = sum(n for n, _ in linked_by_force(rows).values())
     out = pivots.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
-    found = out.agg(F.sum("n_links")).first()[0] / 2
+    found = out.agg(F.sum("n_links")).first()[0]
     assert 0.98 * true <= found <= true
 
 
-def test_vectors_of_every_length_are_searched(spark):
-    rng = np.random.default_rng(14)
-    rows, want = [], {}
-    for width, groups in ((16, 40), (24, 15), (3, 1), (5, 1)):
+def test_recall_on_the_hot_table(spark):
+    """The shipped settings against brute force over all of check_h."""
+    if not Path("/root/testdata/check_h/embeddings.parquet").exists():
+        pytest.skip("no check tables here")
+    df = spark.read.parquet("/root/testdata/check_h/embeddings.parquet")
+    true = defaultdict(int)
+    for _, own in df.where("label IS NOT NULL AND embedding IS NOT NULL").toPandas().groupby("label"):
+        v = np.array(own["embedding"].tolist(), np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+        for at in range(0, len(v), 1000):
+            for i, n in enumerate((v[at : at + 1000] @ v.T >= 0.98).sum(axis=1) - 1):
+                true[own["vec_id"].iloc[at + i]] += int(n)
+    got = {r.vec_id: r.n_links for r in pivots.vector_links(df).collect()}
+    assert all(got[i] <= n for i, n in true.items())
+    assert sum(got.values()) >= 0.999 * sum(true.values())
+
+
+def planted(widths, seed=14):
+    """Groups of near vectors among lone ones, of several lengths, as floats."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for width, groups, lone, spread in widths:
         for _ in range(groups):
-            centre, first = rng.normal(size=width), len(rows)
-            size = 1 if width == 3 else 4
-            for _ in range(size):
-                want[len(rows)] = (size - 1, first)
-                rows.append((len(rows), (centre + rng.normal(size=width) * 0.02).tolist(), 1))
-    out = pivots.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
-    v = [np.array(r[1]) / np.linalg.norm(r[1]) for r in rows]
-    links = [sum(i != j and len(a) == len(b) and a @ b >= 0.98 for j, b in enumerate(v)) for i, a in enumerate(v)]
-    assert [w[0] for w in want.values()] == links
-    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+            centre = rng.normal(size=width)
+            rows += [((centre + rng.normal(size=width) * spread), 1) for _ in range(rng.integers(2, 9))]
+        rows += [(rng.normal(size=width), int(rng.integers(0, 2))) for _ in range(lone)]
+    return [(i, v.astype(np.float32).tolist(), label) for i, (v, label) in enumerate(rows)]
+
+
+def linked_by_force(rows):
+    u, links = Union(), Counter()
+    for width in {len(r[1]) for r in rows}:
+        own = [r for r in rows if len(r[1]) == width]
+        v = np.array([r[1] for r in own], np.float64)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        label = np.array([r[2] for r in own])
+        for i, j in zip(*np.nonzero(np.triu((v @ v.T >= 0.98) & (label[:, None] == label), 1)), strict=True):
+            a, b = own[i][0], own[j][0]
+            u.join(a, b)
+            links[a] += 1
+            links[b] += 1
+    return {r[0]: (links[r[0]], u.root(r[0])) for r in rows}
+
+
+@pytest.mark.parametrize("block", [1024, 40, 6])
+def test_vector_links_as_shipped_match_brute_force(spark, block):
+    """Eight nearest pivots, three shared, several lengths; also with lists
+    that are split by further pivots and cut into blocks."""
+    rows = planted([(16, 60, 200, 0.03), (24, 25, 50, 0.02), (3, 0, 1, 0), (5, 1, 0, 0.01)])
+    want = linked_by_force(rows)
+    assert sum(n for n, _ in want.values()) > 800
+    pivots.BLOCK, old = block, pivots.BLOCK
+    try:
+        got = pivots.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    finally:
+        pivots.BLOCK = old
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def test_long_lists_are_split_where_that_helps(spark):
+    """Spread rows over pivots: parts are shorter. One tight group: the parts
+    would be as long as the list, so it stays whole."""
+    rng = random.Random(3)
+    spread = [(i, 1, 4, sorted(rng.sample(range(12), 8))) for i in range(400)]
+    tight = [(1000 + i, 2, 4, list(range(8))) for i in range(400)]
+    df = spark.createDataFrame(spread + tight, "id long, label int, width int, marks array<int>")
+    open_ = pivots._deeper(df.selectExpr("*", "-1 AS at", "3 AS both"), 1)
+    split = pivots._split(open_, 1, 20).select("label").distinct().collect()
+    assert [r.label for r in split] == [1]
+    deeper = pivots._deeper(pivots._deeper(open_, 2), 3)
+    keys = {(r.k1, r.k2, r.k3) for r in deeper.where("id = 1000").collect()}
+    assert keys == {(a, b, c) for a in range(6) for b in range(a + 1, 7) for c in range(b + 1, 8)}
 
 
 def test_loser_tree_merges_any_runs():
