@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -304,9 +305,38 @@ def test_loser_tree_merges_any_runs():
     for k in range(9):
         runs = [sorted(rng.randint(0, 30) for _ in range(rng.randint(0, 12))) for _ in range(k)]
         assert list(warc.merge_runs(runs)) == sorted(x for r in runs for x in r)
-    flat = [rng.randint(0, 9) for _ in range(50)]
-    assert [x for r in warc.sorted_runs(flat) for x in r] == flat
-    assert warc.sorted_runs([]) == [[]]
+        assert list(warc.merge_runs([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+
+
+def test_ranges_are_merged_from_pieces_of_runs(spark):
+    """Hot URLs and repeated entries over many ranges; pieces in any order."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "b", None]), f"t{rng.randint(0, 3)}", rng.choice([None, 1, 2, 3]), i) for i in range(3000)]
+    entries = spark.createDataFrame(rows, "urlkey string, captured string, id long, extra int").repartition(7)
+    warc.RANGE_ROWS, old = 100, warc.RANGE_ROWS
+    try:
+        got = sorted(warc.merged_index(entries).collect(), key=lambda r: r.position)
+    finally:
+        warc.RANGE_ROWS = old
+    assert [r.position for r in got] == list(range(3000)) and sorted(r.extra for r in got) == list(range(3000))
+    order = [(r.urlkey or "", r.captured, r.id or 0) for r in got]
+    assert order == sorted(order)
+
+
+def test_archives_are_read_in_pieces():
+    a = warc.Archive()
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nx\r\n\r\ny\r\n\r\n"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    data = record * 3
+    for n in (1, 7, 1000):
+        a, got = warc.Archive(), []
+        for at in range(0, len(data), n):
+            got += a.feed(data[at : at + n])
+        a.end()
+        assert [r["block"] for r in got] == [block] * 3
+    with pytest.raises(ValueError, match="within a record"):
+        list(a.feed(data[:-20]))
+        a.end()
 
 
 PAGES = "page_id long, url string, html string, payload string, id string"
@@ -350,6 +380,38 @@ def test_archives_round_trip(spark, tmp_path):
         assert not data or data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
 
 
+ODD_URLS = ["\u00a0http://x.com/a", "http://x.com/a\x0b", "http://x.com/%20 b%", "http://é.fr/ü?q=😀", "tab\there", "", " ", None, "http://x.com/\x00\x7f"]
+
+
+@pytest.mark.parametrize("kind", ["large", "text"])
+def test_any_ids_times_and_urls(spark, tmp_path, kind):
+    """Hashed 64-bit ids or texts as ids, times that are null, odd URLs: what
+    is read back is what was written."""
+    ids = [2**62, -(2**63), 2**63 - 1, -1, 0, 2**31, None, 7, 8] if kind == "large" else ["a>b", "<urn:x>", "é%20", "none", "\r\n", "", None, "x", "y"]
+    times = ["2020-01-01T00:00:00Z", None] * 4 + [None]
+    rows = list(zip(ids, ODD_URLS, [f"p{i}" for i in range(9)], times, strict=True))
+    df = spark.createDataFrame(rows, f"page_id {'long' if kind == 'large' else 'string'}, url string, html string, seen string")
+    for column in (None, "seen"):
+        out = warc.archive_pages(df, str(tmp_path / f"{column}"), time_col=column).collect()
+        assert Counter((r.page_id, r.url) for r in out) == Counter((r[0], r[1]) for r in rows)
+        assert all(len(r.captured) == 20 for r in out)
+        assert sorted(r.position for r in out) == list(range(9))
+    stamp = df.withColumn("seen", F.to_timestamp("seen", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    seen = {r.url: r.captured for r in warc.archive_pages(stamp, str(tmp_path / "stamp"), time_col="seen").collect()}
+    assert all(seen[u] == t for _, u, _, t in rows if t)
+
+
+def test_large_ids_equal_the_sql(spark, tmp_path):
+    rows = [(i, u, h) for i, u, h in zip([2**62, 2**62 + 1, -5, 2**31 + 3, 3, -(2**63)], ["http://a.b/", "http://a.b/", "http://a.b/", "http://a.b/", "http://a.b/", None], ["x", "x", "y", "é", "é", None], strict=True)]
+    got = warc.archive_digest(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    con.execute(warc.WARC_SQL)
+    names = [d[0] for d in con.description]
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(con.fetchall(), key=repr)
+
+
 def test_url_keys(spark):
     df = spark.createDataFrame([("http://www.Example.com/A?b#c",), ("https://u:p@x.org:1",), (None,), ("odd",)], "u string")
     assert [r[0] for r in df.select(warc.url_key(F.col("u"))).collect()] == ["com,example,www)/A?b", "org,x)/", "", "odd"]
