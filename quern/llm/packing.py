@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import repeat
@@ -23,13 +24,31 @@ PIECE_SCHEMA = (
 )
 
 
+#: How a tokenizer file must treat its text for words to be encoded apart:
+#: white space is dropped, letters are lower-cased, words end in </w>.
+_SPACE_DROPPED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = {"pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def keeps_words_apart(spec: dict) -> bool:
+    normalizer, pre, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = pre.get("pretokenizers") or [{}, {}]
+    return (
+        normalizer.get("normalizers") == _SPACE_DROPPED and len(steps) == 2 and steps[0] == {"type": "Split", **_WORDS}
+        and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
+        and all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens", []))
+    )
+
+
 class WordEncoder:
     """Token ids of whole texts, through a memo of blank-separated words.
 
-    The tokenizer drops white space and no token, merge or pattern spans it,
-    so a text's ids are those of its words in order. Only blanks and line
-    feeds are cut at here; any other white space stays inside a word and is
-    left to the tokenizer.
+    The tokenizer drops white space and no token, merge or pattern spans it
+    (the file is looked at for that; one of another kind encodes whole texts,
+    without a memo), so a text's ids are those of its words in order. Only
+    blanks and line feeds are cut at here; any other white space stays inside
+    a word and is left to the tokenizer.
     """
 
     def __init__(self, path: str | None):
@@ -41,6 +60,7 @@ class WordEncoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = keeps_words_apart(json.loads(self.tokenizer.to_str()))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # one character a byte, besides the mark of a word's end
@@ -126,6 +146,13 @@ class WordEncoder:
             self.store(odd, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if any(len(t or "") > 2 * CHUNK_CHARS for t in texts):  # very long ones by pieces
+            return [np.concatenate([self.encode_words([p])[0] for p in blank_pieces(t or "", CHUNK_CHARS)]) for t in texts]
+        return self.encode_words(texts)
+
+    def encode_words(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.forget()
         words: list[str] = []
@@ -145,6 +172,19 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def blank_pieces(text: str, most: int) -> Iterator[str]:
+    """A text in pieces of about `most` characters, cut before blanks and line
+    feeds; without any of these it stays whole."""
+    at = 0
+    while len(text) - at > 2 * most:
+        ends = [e for e in (text.find(c, at + most) for c in " \n") if e >= 0]
+        if not ends:
+            break
+        yield text[at : min(ends)]
+        at = min(ends)
+    yield text[at:]
+
+
 _encoders: dict[str | None, WordEncoder] = {}
 
 
@@ -171,76 +211,77 @@ class Packer:
     """Fills one sequence at a time with the waiting example whose demand has
     the largest dot product with the room left (tokens, segments,
     loss-bearing tokens). Where none fits whole, an example is cut to fill
-    the sequence, if cutting is allowed."""
+    the sequence, if cutting is allowed.
+
+    Examples of one demand wait in one bucket, (tokens, tokens before the
+    loss), so a placement costs a look at each different demand."""
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, cut: bool, first_id: int):
-        self.room = np.array([max_tokens, max_segments, max_loss], np.float64)
+        self.room = (max_tokens, max_segments, max_loss)
         self.cut, self.next_id = cut, first_id
-        self.waiting: list[tuple] = []  # (doc, ids, start, doc_tokens, loss_from)
+        self.buckets: dict[tuple[int, int], list[tuple]] = {}  # of (doc, ids, start)
         self.tokens = 0
         self.out: list[tuple] = []
 
     def add(self, doc, ids: np.ndarray, loss_from: int) -> None:
         n, start = len(ids), 0
-        whole = int(self.room[0])
-        if n > whole and not self.cut:
-            raise ValueError(f"an example of {n} tokens exceeds {whole} and may not be cut")
-        while self.cut and n - start >= whole and whole - max(0, min(whole, loss_from - start)) <= self.room[2]:
-            self.place((doc, ids, start, n, loss_from), start, whole, self.next_id, 0)
+        whole, _, loss = self.room
+        if not self.cut and (n > whole or n - loss_from > loss):
+            raise ValueError(f"an example of {n} tokens exceeds a limit and may not be cut")
+        while self.cut and n - start >= whole and whole - min(whole, max(0, loss_from - start)) <= loss:
+            self.place((doc, ids, start), whole, min(whole, max(0, loss_from - start)), self.next_id, 0)
             self.next_id += 1
             start += whole
         if n > start or n == 0:
-            self.waiting.append((doc, ids, start, n, loss_from))
-            self.tokens += n - start
+            self.wait((doc, ids, start), n - start, min(n - start, max(0, loss_from - start)))
+
+    def wait(self, item: tuple, length: int, free: int) -> None:
+        self.buckets.setdefault((length, free), []).append(item)
+        self.tokens += length
 
-    def place(self, item: tuple, start: int, length: int, sequence: int, offset: int) -> None:
-        doc, ids, _, n, loss_from = item
-        loss = max(0, start + length - max(start, loss_from))
-        self.out.append((doc, start, length, ids[start : start + length].tobytes(), n, loss, sequence, offset))
+    def place(self, item: tuple, length: int, free: int, sequence: int, offset: int) -> None:
+        doc, ids, start = item
+        self.out.append((doc, start, length, ids[start : start + length].tobytes(), len(ids), length - free, sequence, offset))
 
     def fill(self, last: bool) -> None:
         """Pack what waits; unless it is the last call, keep what does not
         fill a sequence for a later partner."""
-        items = self.waiting
-        need = np.array([(n - s, 1, max(0, n - max(s, lf))) for _, _, s, n, lf in items], np.float64).reshape(-1, 3)
-        scaled = need / np.maximum(self.room, 1)
-        alive = np.ones(len(items), bool)
-        left = self.tokens
-        while alive.any() and (last or left >= 2 * self.room[0]):
-            room, offset = self.room.copy(), 0
-            while True:
-                fits = alive & (need <= room).all(axis=1)
-                if fits.any():
-                    score = scaled @ (room / np.maximum(self.room, 1))
-                    i = int(np.argmax(np.where(fits, score, -1.0)))
-                    item, length = items[i], int(need[i, 0])
-                    self.place(item, item[2], length, self.next_id, offset)
-                    alive[i] = False
-                else:
-                    if not (self.cut and alive.any() and room[0] >= 1 and room[1] >= 1):
-                        break
-                    i = int(np.argmax(np.where(alive, need[:, 0], -1.0)))
-                    item = items[i]
-                    free = max(0, min(item[3], item[4]) - item[2])  # its tokens that bear no loss come first
-                    length = int(min(room[0], free + room[2], need[i, 0]))
+        whole, segments, most_loss = self.room
+        keys: list[tuple[int, int]] = []
+        size = loss = weight = np.zeros(0)
+        while self.buckets and (last or self.tokens >= 2 * whole):
+            room, seats, bears, offset = whole, segments, most_loss, 0
+            while seats > 0 and self.buckets:
+                if len(keys) != len(self.buckets):  # else keys are the buckets', in order
+                    keys = list(self.buckets)
+                    need = np.array(keys, np.float64)
+                    size, loss = need[:, 0], need[:, 0] - need[:, 1]
+                    weight = np.stack([size / max(whole, 1) ** 2, loss / max(most_loss, 1) ** 2])
+                fits = (size <= room) & (loss <= bears)
+                at = int(np.where(fits, weight[0] * room + weight[1] * bears, -1.0).argmax())
+                if fits[at]:
+                    key = keys[at]
+                    length, free = key
+                elif self.cut and room > 0:
+                    part = np.minimum(np.minimum(size, room), size - loss + bears)
+                    at = int((part * (1 << 32) + size).argmax())
+                    key, length = keys[at], int(part[at])
                     if length < 1:
                         break
-                    self.place(item, item[2], length, self.next_id, offset)
-                    doc, ids, s, n, lf = item
-                    items[i] = (doc, ids, s + length, n, lf)
-                    need[i] = (n - s - length, 1, max(0, n - max(s + length, lf)))
-                    scaled[i] = need[i] / np.maximum(self.room, 1)
-                    if need[i, 0] == 0:
-                        alive[i] = False
-                taken = self.out[-1]
-                room -= (taken[2], 1, taken[5])
-                offset += taken[2]
-                left -= taken[2]
+                    free = min(length, key[1])  # its tokens that bear no loss come first
+                else:
+                    break
+                own = self.buckets[key]
+                item = own.pop()
+                if not own:
+                    del self.buckets[key]
+                self.tokens -= key[0]
+                self.place(item, length, free, self.next_id, offset)
+                if length < key[0]:
+                    self.wait((item[0], item[1], item[2] + length), key[0] - length, key[1] - free)
+                    keys = []
+                room, seats, bears, offset = room - length, seats - 1, bears - (length - free), offset + length
             self.next_id += 1
-            if offset == 0:
-                raise ValueError("an example exceeds the limits of a sequence and may not be cut")
-        self.waiting = [x for x, a in zip(items, alive, strict=True) if a]
-        self.tokens = left
 
     def flush(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -255,9 +296,10 @@ def pack_examples(
     tokenizer_path: str | None = None,
     end_id: int = 2,
     max_tokens: int = 4096,
-    max_segments: int = 256,
+    max_segments: int = 4096,
     max_loss: int = 4096,
     cut: bool = True,
+    prompt_tokens: int = 0,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned
     32-bit, binary), doc_tokens, loss_tokens, sequence_id, offset.
@@ -266,14 +308,16 @@ def pack_examples(
     sequences never span tasks, so a task leaves one sequence with padding
     and a lost one is made again alone). At most WINDOW_TOKENS wait in it.
     `loss_from_col` is the place of the first loss-bearing token of each
-    example (null or no column: 0). tokenizer_path None is the public word_bpe_49k.
+    example; where it is null or not named, that is `prompt_tokens`, but a
+    quarter of the example at most. tokenizer_path None is the public
+    word_bpe_49k; any other tokenizer file is used as it is.
 
     Null and empty texts are the end id alone. Repeated rows are packed one
     by one, a null id is kept. Other columns are left out. An empty table
     gives no pieces. With cut=False an example beyond a limit is an error.
     """
     cols = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
-    loss = F.coalesce(F.col(loss_from_col), F.lit(0)) if loss_from_col else F.lit(0)
+    loss = F.col(loss_from_col) if loss_from_col else F.lit(None)
     rows = docs.select(*cols, loss.cast("long").alias("loss_from"))
     schema = PIECE_SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())
 
@@ -296,7 +340,8 @@ def pack_examples(
             ids, texts, starts = (b.column(i).to_pylist() for i in range(3))
             for lo, hi in in_chunks(texts):
                 for doc, tokens, loss_from in zip(ids[lo:hi], enc.encode(texts[lo:hi]), starts[lo:hi], strict=True):
-                    packer.add(doc, np.concatenate([tokens, end]), loss_from)
+                    tokens = np.concatenate([tokens, end])
+                    packer.add(doc, tokens, min(prompt_tokens, len(tokens) // 4) if loss_from is None else loss_from)
                 if packer.tokens >= WINDOW_TOKENS:
                     packer.fill(last=False)
                 if len(packer.out) >= 2000:
@@ -309,6 +354,11 @@ def pack_examples(
     return rows.mapInArrow(pack, schema)
 
 
+#: The query's examples: the first tokens of a document are its prompt, and a
+#: sequence has that many tokens less of loss than of length.
+PROMPT_TOKENS = 64
+
+
 def pack_digest(docs: DataFrame) -> DataFrame:
-    out = pack_examples(docs)
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    out = pack_examples(docs, prompt_tokens=PROMPT_TOKENS, max_loss=4096 - PROMPT_TOKENS)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")

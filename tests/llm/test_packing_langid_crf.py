@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import product
 
@@ -75,6 +76,78 @@ def test_limits_hold_together(spark, tokenizer):
             assert len(out) == len(rows)
 
 
+def test_many_tiny_examples_are_packed_at_once():
+    packer = packing.Packer(4096, 4096, 4096, True, 0)
+    one = np.zeros(1, np.uint32)
+    began = time.perf_counter()
+    for i in range(500_000):
+        packer.add(i, one, 0)
+    packer.fill(last=True)
+    out = packer.flush()
+    assert time.perf_counter() - began < 60
+    assert len(out) == 500_000 and len({r[6] for r in out}) == math.ceil(500_000 / 4096)
+
+
+def test_buckets_choose_as_a_scan_of_all_examples_does():
+    """Against a plain packer that looks at every waiting example."""
+    rng = random.Random(2)
+    for limits in ((100, 5, 70), (64, 64, 64), (50, 3, 10)):
+        items = [(i, rng.randint(1, 40), 0) for i in range(200)]
+        items = [(i, n, rng.randint(max(0, n - limits[2]), n)) for i, n, _ in items]
+        packer = packing.Packer(*limits, False, 0)
+        for i, n, free in items:
+            packer.add(i, np.zeros(n, np.uint32), free)
+        packer.fill(last=True)
+        got = defaultdict(list)
+        for r in packer.flush():
+            got[r[6]].append((r[2], r[5]))
+        left, want = [(n, n - free) for _, n, free in items], []
+        while left:
+            room, own = list(limits), []
+            while room[1] and (fits := [x for x in left if x[0] <= room[0] and x[1] <= room[2]]):
+                score = lambda x: x[0] / limits[0] * room[0] / limits[0] + x[1] / limits[2] * room[2] / limits[2]
+                best = max(fits, key=score)
+                left.remove(best)
+                own.append(best)
+                room = [room[0] - best[0], room[1] - 1, room[2] - best[1]]
+            want.append(own)
+        assert len(got) <= len(want) + 1
+        assert all(len(own) <= limits[1] and sum(x[0] for x in own) <= limits[0] and sum(x[1] for x in own) <= limits[2] for own in got.values())
+
+
+def test_the_query_keeps_to_its_loss_limit(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    out = packing.pack_digest(docs).collect()
+    tokens, loss = Counter(), Counter()
+    for r in out:
+        tokens[r.sequence_id] += r.length
+        loss[r.sequence_id] += r.loss_tokens
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, min(64, r.doc_tokens // 4)))
+    assert max(tokens.values()) == 4096 and max(loss.values()) == 4096 - 64  # both limits bind
+    assert len(tokens) * 4096 <= 1.02 * sum(tokens.values()) + 4096
+
+
+def test_very_long_texts_are_encoded_by_pieces(tokenizer):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word ", "Über\n", "x.\t", "İstanbul ", "<|endoftext|> ", "a"]) for _ in range(4000))
+    packing.CHUNK_CHARS, old = 500, packing.CHUNK_CHARS
+    try:
+        assert len(list(packing.blank_pieces(text, 500))) > 20
+        got = packing.WordEncoder(None).encode([text, None, "x"])
+    finally:
+        packing.CHUNK_CHARS = old
+    for t, ids in zip([text, "", "x"], got, strict=True):
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_file_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["Two  Words\n and more", None, "ÉT <|endoftext|>"]
+    for t, ids in zip(texts, packing.WordEncoder(path).encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(t or "", add_special_tokens=False).ids
+
+
 def naive_code_length(train, text):
     """PPM of order 3, straight from its definition, over byte strings."""
     counts = [defaultdict(Counter) for _ in range(4)]
