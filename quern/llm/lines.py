@@ -29,7 +29,8 @@ def drop_shared_lines(
     loses all its lines everywhere; the rest is joined again by position.
     Counting is partial before every shuffle, so a line in every document
     costs a task one row, and only the documents that lose lines have their
-    positions collected (at most one entry per line of that document).
+    positions collected (at most one entry per line of that document). All
+    work on a document is linear in its lines.
 
     Null text counts as one empty line and becomes the empty string. A
     document is a distinct `id_col`, null being one of them; rows repeated
@@ -46,7 +47,7 @@ def drop_shared_lines(
     shared = lines.select("h", "__q_id").distinct().groupBy("h").count().where(F.col("count") >= min_docs).select("h")
     shared = write_table(shared, "shared")  # a side of its own, so that a hot hash's lines can be split
     gone = lines.join(shared, "h", "left_semi")
-    gone = gone.groupBy("__q_id", "__q_row").agg(F.collect_set("pos").alias("__q_gone"))
+    gone = gone.groupBy("__q_id", "__q_row").agg(F.array_sort(F.collect_set("pos")).alias("__q_gone"))
     gone = gone.select(F.col("__q_id").alias("__q_gid"), F.col("__q_row").alias("__q_grow"), "__q_gone")
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = docs.withColumn("__q_row", F.md5(text.cast("binary")))
@@ -54,7 +55,11 @@ def drop_shared_lines(
         gone, F.col(id_col).eqNullSafe(F.col("__q_gid")) & (F.col("__q_row") == F.col("__q_grow")), "left"
     )
     split = F.split(text, "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__q_gone", i)), "\n")
+    # A mark for each line up to the last that goes: False for those since the
+    # one before, then True. Lines and marks are read side by side, once.
+    since = lambda p, k: p - F.coalesce(F.get("__q_gone", k - 1), F.lit(-1)) - 1
+    marks = F.flatten(F.transform("__q_gone", lambda p, k: F.array_append(F.array_repeat(F.lit(False), since(p, k)), F.lit(True))))
+    kept = F.array_join(F.zip_with(split, marks, lambda line, goes: F.when(~F.coalesce(goes, F.lit(False)), line)), "\n")
     dropped = F.coalesce(F.size("__q_gone"), F.lit(0)).cast("long")
     outs = [F.when(F.col("__q_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in keep]
     return joined.select(*outs, F.size(split).cast("long").alias("n_lines"), dropped.alias("n_dropped"))
