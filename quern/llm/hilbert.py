@@ -11,11 +11,6 @@ from ..scratch import write_table
 from .common import running_totals, utf8_size
 
 
-def size_level(size: Column, bits: int) -> Column:
-    """A size on a log scale, two steps for each doubling."""
-    return F.least(F.floor(F.log2(size + F.lit(1)) * 2), F.lit((1 << bits) - 1)).cast("long")
-
-
 def rank_levels(df: DataFrame, col: str, bits: int) -> DataFrame:
     """(value, level): values of `col` in order, null first, each at the share
     of rows that come before it, in 2**bits levels. Counts are combined map-side;
@@ -69,8 +64,8 @@ def hilbert_shards(
     """One row per input row: doc_id, size, text_crc32, law, shard, slot,
     grown_shard (null), curve and the levels `dim_*`.
 
-    The dimensions are the columns `dims` (by rank) and the text's size (log
-    scale), quantised to `bits` each. Rows are range-sorted by curve index,
+    The dimensions are the columns `dims` and the text's size, each by rank
+    (the share of rows with a lesser value) in 2**bits levels. Rows are range-sorted by curve index,
     text hash and id, so copies under the same metadata stay together, and
     the run is cut into n_shards of row counts at most one apart (law rows).
     Positions come from exact running totals over ranges; no task holds more
@@ -87,14 +82,13 @@ def hilbert_shards(
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
         *[F.col(d).alias(f"__q_{i}") for i, d in enumerate(dims)],
-    )
+    ).withColumn(f"__q_{len(dims)}", F.col("size"))
     base = write_table(base, "hilbert")
     out = base
-    for i, _ in enumerate(dims):
+    for i in range(len(dims) + 1):
         levels = rank_levels(base.select(f"__q_{i}"), f"__q_{i}", bits).withColumnsRenamed({"value": "__q_v", "level": f"dim_{i}"})
         levels = write_table(levels, "levels")  # a side of its own, so that a hot value's rows can be split
         out = out.join(levels, F.col(f"__q_{i}").eqNullSafe(F.col("__q_v")), "left").drop("__q_v", f"__q_{i}")
-    out = out.withColumn(f"dim_{len(dims)}", size_level(F.col("size") - 8, bits))
     names = [f"dim_{i}" for i in range(len(dims) + 1)]
     placed = running_totals(
         hilbert_index(out, names, bits).withColumn("one", F.lit(1)), "one", ["curve", "text_hash", "doc_id"], tag="curve"

@@ -1,6 +1,10 @@
+import bisect
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import hilbert, lines, mixing
@@ -36,6 +40,18 @@ def test_line_dedup_matches_brute_force(spark):
     assert lines.drop_shared_lines(frame(spark, [])).count() == 0
 
 
+def test_a_text_of_many_lines_is_linear(spark):
+    """A third of 300,000 lines goes: minutes, were it quadratic."""
+    n = 300_000
+    text = "\n".join("shared" if i % 3 == 0 else f"line {i}" for i in range(n))
+    docs = frame(spark, [(0, text, *[None] * 6), *[(i, "shared\nx" + str(i), *[None] * 6) for i in range(1, 12)]])
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in lines.drop_shared_lines(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert (got[0].n_lines, got[0].n_dropped) == (n, n // 3)
+    assert got[0].text == "\n".join(f"line {i}" for i in range(n) if i % 3) and got[5].text == "x5"
+
+
 def test_running_totals_cross_ranges_and_groups(spark):
     rows = [(g, i, (i * 7) % 5) for g in (None, "a", "b") for i in range(200 if g == "a" else 3)]
     out = running_totals(spark.createDataFrame(rows, "g string, i int, v long"), "v", ["i"], ["g"]).collect()
@@ -106,6 +122,42 @@ def test_hilbert_curve_is_a_bijection_with_unit_steps(spark):
             assert sum(abs(x - y) for x, y in zip(a[1:], b[1:], strict=True)) == 1
 
 
+def test_shards_match_brute_force(spark, sf_dir):
+    """Levels, order, shards and slots from their definitions; the curve's own
+    index from the query, as its orientation is free (the bijection with unit
+    steps is tested above), where it is a Hilbert curve of the same cells."""
+    for docs in (frame(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        rows = docs.select("doc_id", "text", "lang", "source").collect()
+        raw = [(r.text or "").encode() for r in rows]
+        columns = [[(x is not None, x or "") for x in c] for c in ([r.lang for r in rows], [r.source for r in rows])]
+        columns.append([len(t) + 8 for t in raw])
+        level = []
+        for c in columns:
+            before = sorted(c)
+            level.append([bisect.bisect_left(before, x) * 32 // len(rows) for x in c])
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        got = hilbert.shard_digest(docs).collect()
+        curve = {(r.dim_0, r.dim_1, r.dim_2): r.curve for r in got}
+        assert len(set(curve.values())) == len(curve)
+        order = sorted(
+            (curve[dims], signed(xxhash.xxh64_intdigest(t, 42)), (r.doc_id is not None, r.doc_id or 0), len(t) + 8, zlib.crc32(t), dims)
+            for r, t, dims in zip(rows, raw, zip(*level, strict=True), strict=True)
+        )
+        want, total, slot = [], len(rows), Counter()
+        for at, (c, _, (known, doc), size, crc, dims) in enumerate(order):
+            shard = at * 24 // total
+            want.append((doc if known else None, size, crc, shard, slot[shard], c, *dims))
+            slot[shard] += 1
+        have = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.curve, r.dim_0, r.dim_1, r.dim_2) for r in got]
+        assert sorted(have, key=repr) == sorted(want, key=repr)
+
+
+def test_size_prunes_among_large_texts(spark):
+    rows = [(i, "x" * (60_000 + 1000 * i), *[None] * 6) for i in range(64)]
+    out = hilbert.hilbert_shards(frame(spark, rows)).collect()
+    assert len({r.dim_2 for r in out}) == 32
+
+
 def test_shards_are_even_gapless_and_ordered(spark):
     docs = frame(spark)
     rows = docs.collect()
