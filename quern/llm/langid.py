@@ -15,13 +15,31 @@ UNKNOWN = "und"
 #: About so many labelled documents a language are learned from.
 LEARN_DOCS = 1_000
 _PAD = b"\n\n\n"
-
-
-def four_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each byte with the three before it, bounds of the texts).
-
-    Texts are lower-cased UTF-8; each starts in the context of line feeds."""
-    parts = [_PAD + (t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+#: Code lengths (bytes times languages) in memory at a time.
+PIECE_VALUES = 4_000_000
+
+
+def in_pieces(texts: list[str | None], most: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Groups of byte strings of about `most` bytes with the numbers of their
+    texts. Texts are lower-cased UTF-8 in the context of line feeds; very long
+    ones are cut, each piece beginning with the three bytes before it."""
+    parts, owner, size = [], [], 0
+    for i, t in enumerate(texts):
+        raw = _PAD + (t or "").lower().encode("utf-8", "surrogatepass")
+        for at in range(0, max(1, len(raw) - 3), most):
+            parts.append(raw[at : at + most + 3])
+            owner.append(i)
+            size += len(parts[-1])
+            if size >= most:
+                yield parts, owner
+                parts, owner, size = [], [], 0
+    if parts:
+        yield parts, owner
+
+
+def four_grams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each byte with the three before it, bounds of the parts);
+    a part's first three bytes are context only."""
     buf = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     code = buf[3:] | (buf[2:-1] << 8) | (buf[1:-2] << 16) | (buf[:-3] << 24)
@@ -106,8 +124,16 @@ class ByteTrees:
         self.cost3, self.cost2, self.escape3 = cost3, cost2, np.concatenate([escape3, none])
 
     def code_lengths(self, texts: list[str | None]) -> np.ndarray:
-        """(texts, languages): the exact code length of each whole text."""
-        code, bounds = four_grams(texts)
+        """(texts, languages): the exact code length of each whole text. The
+        lengths of a text's pieces add up; a piece is smaller the more
+        languages there are, so that memory stays the same."""
+        sums = np.zeros((len(texts), len(self.langs)))
+        for parts, owner in in_pieces(texts, max(4096, PIECE_VALUES // max(1, len(self.langs)))):
+            np.add.at(sums, owner, self._lengths(parts))
+        return sums
+
+    def _lengths(self, parts: list[bytes]) -> np.ndarray:
+        code, bounds = four_grams(parts)
         row = self.four.find(code)
         cost = self.cost3[row]
         new = np.flatnonzero(row < 0)
@@ -118,7 +144,7 @@ class ByteTrees:
             rare = np.flatnonzero(low < 0)
             shorter[rare] = self.escape2[(c[rare] >> 8) & 0xFFFF] + self.cost1[c[rare] & 0xFFFF]
             cost[new] = self.escape3[self.three.find(c >> np.uint32(8))] + shorter
-        sums = np.zeros((len(texts), len(self.langs)))
+        sums = np.zeros((len(parts), len(self.langs)))
         full = np.flatnonzero(np.diff(bounds))
         if len(full):
             sums[full] = np.add.reduceat(cost, bounds[full], axis=0)
@@ -143,8 +169,8 @@ def learn_trees(
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 own = [texts[i] for i in np.flatnonzero(langs == lang)]
-                for lo, hi in in_chunks(own):
-                    code, n = np.unique(four_grams(own[lo:hi])[0], return_counts=True)
+                for parts, _ in in_pieces(own, PIECE_VALUES // 4):
+                    code, n = np.unique(four_grams(parts)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))],
                         ["lang", "code", "n"],
