@@ -16,6 +16,12 @@ from .packing import in_chunks
 
 #: About so many labelled documents of each label are learned from.
 LEARN_DOCS = 1_500
+#: Documents of more lines are not learned from, and of the sample as many
+#: documents are taken as have so many lines together: what the driver holds.
+LEARN_LINES, LEARN_ALL_LINES = 2_000, 400_000
+#: Bytes of a very long text whose counts are in memory at a time; lines of a
+#: text from which on its chain is worked on in blocks.
+PIECE, LONG_LINES = 1_000_000, 2_000
 THRESHOLD = 0.7
 BASE_FEATURES = 17
 
@@ -53,35 +59,49 @@ def _class_counts(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> list
     return [((sums[k // 3] >> np.uint64(21 * (k % 3))) & np.uint64(_FIELD - 1)).astype(np.int64) for k in range(9)]
 
 
-def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line, its UTF-8 length, bounds of the texts' lines),
-    from one pass over the bytes of all texts."""
-    parts = [(t or "").encode("utf-8", "surrogatepass") + b"\n" for t in texts]
-    buf = np.frombuffer(b"".join(parts), np.uint8)
+@dataclass
+class _Counts:
+    """What the features of lines are made of; all but the ends add up over
+    the parts of a line."""
+
+    size: np.ndarray
+    classes: np.ndarray  # (9, lines)
+    words: np.ndarray
+    same: np.ndarray  # words equal to the one before
+    first: np.ndarray  # bytes
+    last: np.ndarray
+    keys: tuple[int | None, int | None]  # hashes of the first and last word of all
+
+    def features(self) -> np.ndarray:
+        n, many = np.maximum(self.size, 1).astype(np.float64), np.maximum(self.words, 1)
+        share = [c / n for c in self.classes[:8]]
+        cols = [
+            np.log1p(self.size), np.log1p(self.words), self.size / many / 10.0, self.same / many, *share, self.classes[8] / n,
+            ((self.first >= 65) & (self.first <= 90)).astype(float), np.isin(self.last, np.frombuffer(b".!?", np.uint8)).astype(float),
+            (share[0] > 0.5).astype(float), (self.size == 0).astype(float),
+        ]
+        return np.stack(cols, axis=1)
+
+
+def _count_lines(buf: np.ndarray) -> _Counts:
+    """Counts of the lines of a buffer that ends with a line feed."""
     ends = np.flatnonzero(buf == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    text_ends = np.cumsum([len(p) for p in parts]) - 1
-    bounds = np.concatenate([[0], np.searchsorted(ends, text_ends) + 1])
     size = ends - starts
-    n = np.maximum(size, 1).astype(np.float64)
-
-    counts = _class_counts(buf, starts, size)
-    share = [c / n for c in counts[:8]]
-    blank = (counts[8] - 1) / n  # without the line's own end
+    counts = np.stack(_class_counts(buf, starts, size))
+    counts[8] -= 1  # without the line's own end
     space = _CLASSES[8].astype(bool)[buf]
     # Words: maximal runs of other bytes, each with a polynomial hash.
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(buf) and not space[0]:
         edge = np.concatenate([[0], edge])
     begin, stop = edge[::2], edge[1::2]  # the buffer ends in white space
-    words = np.zeros(len(ends))
-    same = np.zeros(len(ends))
+    words, same, keys = np.zeros(len(ends)), np.zeros(len(ends)), (None, None)
     if len(begin):
         line = np.searchsorted(ends, begin)
         place = np.arange(len(buf), dtype=np.uint32)
-        place -= np.repeat(begin.astype(np.uint32), np.diff(np.concatenate([begin, [len(buf)]]))) if begin[0] == 0 else np.concatenate(
-            [np.zeros(begin[0], np.uint32), np.repeat(begin.astype(np.uint32), np.diff(np.concatenate([begin, [len(buf)]])))]
-        )
+        place[begin[0] :] -= np.repeat(begin.astype(np.uint32), np.diff(np.concatenate([begin, [len(buf)]])))
+        place[: begin[0]] = 0
         mixed = _WORD_MIX[buf] * (place * np.uint32(2) + np.uint32(3))
         mixed ^= mixed >> np.uint32(15)
         mixed *= _MULTIPLIER
@@ -89,14 +109,58 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         words = np.bincount(line, minlength=len(ends)).astype(np.float64)
         again = (key[1:] == key[:-1]) & (line[1:] == line[:-1])
         same = np.bincount(line[1:][again], minlength=len(ends)).astype(np.float64)
-    many = np.maximum(words, 1)
-    first, last = buf[starts], buf[np.maximum(ends - 1, starts)]
-    cols = [
-        np.log1p(size), np.log1p(words), size / many / 10.0, same / many, *share, blank,
-        ((first >= 65) & (first <= 90)).astype(float), np.isin(last, np.frombuffer(b".!?", np.uint8)).astype(float),
-        (share[0] > 0.5).astype(float), (size == 0).astype(float),
-    ]
-    return np.stack(cols, axis=1), size, bounds
+        keys = int(key[0]), int(key[-1])
+    return _Counts(size, counts, words, same, buf[starts], buf[np.maximum(ends - 1, starts)], keys)
+
+
+def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line, its UTF-8 length, bounds of the texts' lines),
+    from one pass over the bytes of all texts."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    lines = _count_lines(buf)
+    text_ends = np.cumsum([len(p) for p in parts])
+    bounds = np.concatenate([[0], np.searchsorted(np.cumsum(lines.size + 1), text_ends) + 1])
+    return lines.features(), lines.size, bounds
+
+
+def _long_line(line: bytes, piece: int) -> _Counts:
+    """Counts of one line, by parts cut at its white space (or, where a part
+    has none, within a word, which then counts as two)."""
+    total, at = None, 0
+    while at < len(line):
+        end = min(len(line), at + piece)
+        if end < len(line):
+            end = max((line.rfind(c, at + 1, end) for c in b" \t\r\x0b\x0c"), default=-1)
+            end = end if end > at else at + piece
+        part = _count_lines(np.frombuffer(line[at:end] + b"\n", np.uint8))
+        if total is None:
+            total = part
+        else:
+            again = part.keys[0] is not None and part.keys[0] == total.keys[1]
+            keys = (total.keys[0] if total.keys[0] is not None else part.keys[0], part.keys[1] if part.keys[1] is not None else total.keys[1])
+            total = _Counts(
+                total.size + part.size, total.classes + part.classes, total.words + part.words, total.same + part.same + again, total.first, part.last, keys
+            )
+        at = end
+    return total
+
+
+def features_by_pieces(text: str, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, UTF-8 lengths) of the lines of a very long text, some lines
+    at a time; only a piece has its counts in memory."""
+    raw = text.encode("utf-8", "surrogatepass")
+    at = 0
+    while at <= len(raw):
+        end = len(raw) if len(raw) - at <= piece else raw.rfind(b"\n", at, at + piece)
+        if end < at:  # a line longer than a piece
+            end = raw.find(b"\n", at)
+            end = len(raw) if end < 0 else end
+            lines = _long_line(raw[at:end], piece)
+        else:
+            lines = _count_lines(np.frombuffer(raw[at:end] + b"\n", np.uint8))
+        yield lines.features(), lines.size
+        at = end + 1
 
 
 def with_neighbours(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -147,6 +211,52 @@ def marginals(score: np.ndarray, trans: np.ndarray, bounds: np.ndarray):
     return good, pair, logz
 
 
+def chain_marginals(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The marginals of good of one long text: forward-backward in about
+    sqrt(n) blocks side by side. The blocks' products of step matrices carry
+    the messages from block to block; within blocks all go on together."""
+    n = len(score)
+    b = max(1, int(np.ceil(np.sqrt(n))))
+    k = -(-n // b)
+    move = np.exp(trans)
+    unary = np.stack([np.zeros_like(score), score], axis=1)
+    unary = np.exp(unary - unary.max(axis=1, keepdims=True))
+    unary = np.concatenate([unary, np.ones((k * b - n, 2))]).reshape(k, b, 2)
+
+    def step(t: int) -> np.ndarray:
+        """Each block's matrix of its line t: from the state before to its own."""
+        m = move[None] * unary[:, t, None, :]
+        if t == 0:
+            m[0] = unary[0, 0]  # nothing comes before the first line
+        m[np.arange(k) * b + t >= n] = np.eye(2)
+        return m
+
+    through = np.tile(np.eye(2), (k, 1, 1))
+    for t in range(b):
+        through = through @ step(t)
+        through /= through.sum(axis=(1, 2), keepdims=True)
+    left, right = np.empty((k, 2)), np.empty((k, 2))
+    a, z = np.array([1.0, 0.0]), np.ones(2)
+    for i in range(k):
+        left[i], a = a, a @ through[i]
+        a /= a.sum()
+    for i in range(k - 1, -1, -1):
+        right[i], z = z, through[i] @ z
+        z /= z.sum()
+    alpha = np.empty((k, b, 2))
+    for t in range(b):
+        left = np.einsum("ki,kij->kj", left, step(t))
+        left /= left.sum(axis=1, keepdims=True)
+        alpha[:, t] = left
+    good = np.empty((k, b))
+    for t in range(b - 1, -1, -1):
+        both = alpha[:, t] * right
+        good[:, t] = both[:, 1] / both.sum(axis=1)
+        right = np.einsum("kij,kj->ki", step(t), right)
+        right /= right.sum(axis=1, keepdims=True)
+    return good.ravel()[:n]
+
+
 @dataclass
 class LineField:
     """A fitted field: feature scale, weights, transitions, calibration."""
@@ -158,15 +268,42 @@ class LineField:
     slope: float
     offset: float
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """Of each line, what it adds to its own potential and to those of the
+        lines after and before it."""
+        return ((x - self.mean) / self.spread) @ self.weights[: 3 * BASE_FEATURES].reshape(3, BASE_FEATURES).T
+
+    def potentials(self, parts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Potentials of all lines, as by with_neighbours."""
+        first, last, always = self.weights[3 * BASE_FEATURES :]
+        z, before, after = parts[:, 0] + always, np.zeros(len(parts)), np.zeros(len(parts))
+        before[1:], after[:-1] = parts[:-1, 1], parts[1:, 2]
+        before[bounds[:-1]], after[bounds[1:] - 1] = first, last
+        return z + before + after
+
     def raw(self, x: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Length-weighted mean of the lines' marginals of good."""
-        z = with_neighbours((x - self.mean) / self.spread, bounds) @ self.weights
-        good, _, _ = marginals(z, self.trans, bounds)
+        return self.weighted(self.potentials(self.parts(x), bounds), size, bounds)
+
+    def weighted(self, z: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        good, n = np.empty(len(z)), np.diff(bounds)
+        for i in np.flatnonzero(n > LONG_LINES):
+            good[bounds[i] : bounds[i + 1]] = chain_marginals(z[bounds[i] : bounds[i + 1]], self.trans)
+        short = np.repeat(n <= LONG_LINES, n)
+        if short.any():
+            own = np.concatenate([[0], np.cumsum(n[n <= LONG_LINES])])
+            good[short] = marginals(z[short], self.trans, own)[0]
         weight = size + 1.0
         return np.add.reduceat(good * weight, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        raw = self.raw(*line_features(texts))
+        if len(texts) == 1 and len(texts[0] or "") > PIECE:
+            parts, size = zip(*((self.parts(x), n) for x, n in features_by_pieces(texts[0])), strict=True)
+            parts, size = np.concatenate(parts), np.concatenate(size)
+            bounds = np.array([0, len(size)])
+            raw = self.weighted(self.potentials(parts, bounds), size, bounds)
+        else:
+            raw = self.raw(*line_features(texts))
         return 1.0 / (1.0 + np.exp(-(self.slope * _logit(raw) + self.offset)))
 
 
@@ -227,7 +364,8 @@ def learn_field(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     rarer label and as many times more of the other as it is commoner, up to
     4 (all, where there are no more). In the calibration each counts for the
     documents of its label that it stands for, so that scores keep the labels'
-    ratio in the whole table. Ids are joined to choose the sample;
+    ratio in the whole table. Documents of more than LEARN_LINES lines are
+    not learned from, and together the sample has LEARN_ALL_LINES at most. Ids are joined to choose the sample;
     its ids, so few by the bound, are broadcast to the texts. Line features
     are made in tasks; the driver fits on them. None unless both labels occur."""
     has = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"))
@@ -240,27 +378,40 @@ def learn_field(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     sample = rows.where(unit < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).dropDuplicates(["doc_id"])
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    chosen = chosen.join(F.broadcast(sample), "doc_id").select("y", "text")
+    chosen = chosen.join(F.broadcast(sample), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            labels, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            labels, texts, h = (b.column(i).to_pylist() for i in range(3))
             for lo, hi in in_chunks(texts):
-                x, size, bounds = line_features(texts[lo:hi])
-                cut = [(x[a:b_].tobytes(), size[a:b_].astype(np.int64).tobytes()) for a, b_ in zip(bounds[:-1], bounds[1:], strict=True)]
+                own = [i for i in range(lo, hi) if texts[i].count("\n") < LEARN_LINES]
+                if not own:
+                    continue
+                x, size, bounds = line_features([texts[i] for i in own])
+                cut = list(zip(bounds[:-1], bounds[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(labels[lo:hi], pa.int32()), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())],
-                    ["y", "x", "size"],
+                    [
+                        pa.array([labels[i] for i in own], pa.int32()), pa.array([h[i] for i in own], pa.int64()), pa.array(np.diff(bounds)),
+                        pa.array([x[a:z].tobytes() for a, z in cut], pa.binary()), pa.array([size[a:z].astype(np.int64).tobytes() for a, z in cut], pa.binary()),
+                    ],
+                    ["y", "h", "lines", "x", "size"],
                 )
 
-    got = sorted(map(tuple, chosen.mapInArrow(measure, "y int, x binary, size binary").collect()), key=lambda r: (r[0], bytes(r[1])))
+    measured = write_table(chosen.mapInArrow(measure, "y int, h long, lines long, x binary, size binary"), "measured")
+    lines = sorted(measured.select("h", "y", "lines").collect())  # as many rows as the sample has
+    upto = np.searchsorted(np.cumsum([r["lines"] for r in lines]), LEARN_ALL_LINES, side="right")
+    taken = {y: max(1, sum(r["y"] == y for r in lines[:upto])) for y in found}
+    if not upto:
+        return None
+    got = measured.where(F.col("h") <= lines[upto - 1]["h"]).select("y", "x", "size").collect()
+    got = sorted(map(tuple, got), key=lambda r: (r[0], bytes(r[1])))
     if len({r[0] for r in got}) < 2:
         return None
     x = np.concatenate([np.frombuffer(r[1], np.float64).reshape(-1, BASE_FEATURES) for r in got])
     sizes = [np.frombuffer(r[2], np.int64) for r in got]
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
     label = np.array([r[0] for r in got])
-    weight = np.where(label == 1, 1 / share[1], 1 / share[0])
+    weight = np.where(label == 1, found[1] / taken[1], found[0] / taken[0])
     return fit_field(x, np.concatenate(sizes), bounds, label, weight=weight)
 
 
@@ -268,7 +419,8 @@ def score_quality(docs: DataFrame, field: LineField | None, text_col: str = "tex
     """docs with score and predicted (1 from `threshold` on).
 
     Null texts count as empty ones, a single empty line; without a field all
-    scores are 0.5. Same-named columns are replaced; rows and others stay."""
+    scores are 0.5. Very long texts are scored whole, by pieces. Same-named
+    columns are replaced; rows and others stay."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     if field is None:
         return docs.select(*keep, F.lit(0.5).alias("score"), F.lit(int(threshold <= 0.5)).alias("predicted"))
@@ -278,7 +430,7 @@ def score_quality(docs: DataFrame, field: LineField | None, text_col: str = "tex
     def score(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in col:
             texts = part.to_pylist()
-            found = [model.value.scores(texts[lo:hi]) for lo, hi in in_chunks(texts)]
+            found = [model.value.scores(texts[lo:hi]) for lo, hi in in_chunks(texts, alone=True)]
             yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
     out = docs.select(*keep, score(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))

@@ -195,10 +195,14 @@ def encoder(path: str | None) -> WordEncoder:
     return _encoders[path]
 
 
-def in_chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` characters; a text is never cut."""
+def in_chunks(texts: list[str | None], most: int = CHUNK_CHARS, alone: bool = False) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` characters; a text is never cut. With
+    `alone`, a longer one is a range of its own."""
     first = chars = 0
     for i, t in enumerate(texts):
+        if alone and len(t or "") >= most and first < i:
+            yield first, i
+            first, chars = i, 0
         chars += len(t or "") + 1
         if chars >= most:
             yield first, i + 1

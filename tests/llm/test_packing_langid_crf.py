@@ -1,6 +1,7 @@
 import math
 import random
 import time
+import zlib
 from collections import Counter, defaultdict
 from itertools import product
 
@@ -178,7 +179,8 @@ def test_code_lengths_equal_the_definition():
     train = {"a": [make("abc é", 200), make("abcd", 50)], "b": [make("xyz ß", 300)]}
     lang, code, count = [], [], []
     for i, texts in enumerate(train.values()):
-        c, n = np.unique(langid.four_grams(texts)[0], return_counts=True)
+        parts = [p for own, _ in langid.in_pieces(texts, 50) for p in own]
+        c, n = np.unique(langid.four_grams(parts)[0], return_counts=True)
         lang += [i] * len(c)
         code += c.tolist()
         count += n.tolist()
@@ -187,6 +189,12 @@ def test_code_lengths_equal_the_definition():
     got = trees.code_lengths(texts)
     for t, row in zip(texts, got, strict=True):
         assert row == pytest.approx([naive_code_length(x, t or "") for x in train.values()])
+    langid.PIECE_VALUES, old = 0, langid.PIECE_VALUES  # the smallest pieces
+    try:
+        long = texts[0] * 300
+        assert trees.code_lengths([long, "a"])[0] == pytest.approx([naive_code_length(x, long) for x in train.values()])
+    finally:
+        langid.PIECE_VALUES = old
 
 
 def test_language_of_held_out_texts(spark, sf_dir):
@@ -235,6 +243,70 @@ def test_marginals_equal_enumeration():
             assert next(pairs) == pytest.approx(q[i] / z)
 
 
+def test_long_chains_equal_forward_backward():
+    rng = np.random.default_rng(3)
+    trans = rng.normal(size=(2, 2))
+    for n in (1, 2, 3, 10, 97, 1000):
+        score = rng.normal(size=n) * 5
+        assert crf.chain_marginals(score, trans) == pytest.approx(crf.marginals(score, trans, np.array([0, n]))[0], abs=1e-12)
+
+
+def test_features_by_pieces_equal_those_of_the_whole():
+    rng = random.Random(6)
+    words = ["one", "TWO", "two", "é|!", "x.", "  ", "#"]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 9, 300]))) for _ in range(60))
+    for t in (text, text + "\n", " ".join(["same"] * 500), "\n" * 300, ""):
+        x, size, _ = crf.line_features([t])
+        got = list(crf.features_by_pieces(t, 200))
+        assert np.allclose(np.concatenate([g[0] for g in got]), x) and (np.concatenate([g[1] for g in got]) == size).all()
+
+
+def test_potentials_equal_the_features_with_neighbours():
+    rng = np.random.default_rng(5)
+    field = crf.LineField(rng.normal(size=17), rng.random(17) + 1, rng.normal(size=54), rng.normal(size=(2, 2)), 1.0, 0.0)
+    x, size, bounds = crf.line_features(["a b\nc", "", "X\n\n\nY z"])
+    want = crf.with_neighbours((x - field.mean) / field.spread, bounds) @ field.weights
+    assert field.potentials(field.parts(x), bounds) == pytest.approx(want)
+    texts = ["a b\nC!\n" * 40, "### |"]
+    whole = field.scores(texts)
+    crf.PIECE, crf.LONG_LINES, old = 50, 5, (crf.PIECE, crf.LONG_LINES)
+    try:
+        assert field.scores([texts[0]]) == pytest.approx(whole[:1])
+    finally:
+        crf.PIECE, crf.LONG_LINES = old
+
+
+def test_quality_matches_brute_force(spark, sf_dir):
+    """The query's scores from the field by enumeration of paths for short
+    texts and step by step for all; folds and thresholds from the contract."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = crf.learned_from(docs, labels, langid.in_fold("doc_id", 4, 2))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in crf.quality_digest(docs, labels).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7)
+        x, size, bounds = crf.line_features([text[r.doc_id]])
+        z = crf.with_neighbours((x - field.mean) / field.spread, bounds) @ field.weights
+        alpha = [np.array([0.0, z[0]])]
+        for s in z[1:]:
+            alpha.append(np.logaddexp(*(alpha[-1][:, None] + field.trans)) + np.array([0.0, s]))
+        beta = [np.zeros(2)]
+        for s in z[:0:-1]:
+            beta.append(np.logaddexp(*(field.trans + np.array([0.0, s]) + beta[-1]).T))
+        both = np.stack(alpha) + np.stack(beta[::-1])
+        good = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
+        raw = np.clip((good * (size + 1)).sum() / (size + 1).sum(), 1e-4, 1 - 1e-4)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(field.slope * math.log(raw / (1 - raw)) + field.offset))), rel=1e-6)
+
+
+def test_very_long_texts_are_scored(spark):
+    """A million lines, and a line of 20 MB, with bounded memory and time."""
+    field = crf.LineField(np.zeros(17), np.ones(17), np.full(54, 0.01), np.zeros((2, 2)), 1.0, 0.0)
+    began = time.perf_counter()
+    for t in ("some words\n" * 1_000_000, "word and " * 2_500_000):
+        assert 0 <= field.scores([t])[0] <= 1
+    assert time.perf_counter() - began < 60
+
+
 def test_line_features_do_not_depend_on_the_batch():
     texts = [r[1] for r in awkward()]
     x, size, bounds = crf.line_features(texts)
