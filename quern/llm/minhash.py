@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bands: list[np.ndarray | None] = [None] * len(sets)
                 if full:
                     for i, row in zip(full, minmax_bands([sets[i] for i in full], rows=band), strict=True):
-                        keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                        keys[i] = set_digest(sets[i])
                         bands[i] = row
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -100,18 +100,26 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
+def set_digest(s: np.ndarray) -> bytes:
+    """128 bits of a whole set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(id, set) of rows (id, text): whole sets, as sorted 64-bit hashes."""
+    """(id, set_key, set) of rows (id, text): whole sets, as sorted 64-bit
+    hashes, and their digests; only of those that aren't empty."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                found = [shingle_set(t.as_py(), width).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "set"])
+                found = [shingle_set(t.as_py(), width) for t in part.column(1)]
+                full = [i for i, s in enumerate(found) if len(s)]
+                columns = [pa.array([f(found[i]) for i in full], pa.binary()) for f in (set_digest, np.ndarray.tobytes)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full, pa.int64())), *columns], ["id", "set_key", "set"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(sets, f"id {kind}, set binary")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(sets, f"id {kind}, set_key binary, set binary")
 
 
 def shared_count(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -130,8 +138,8 @@ def _similar_sizes(a: str, b: str, percent: int):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose whole sets are similar enough."""
     count = F.arrow_udf(shared_count, "long")
-    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    p = p.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    p = p.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     p = p.select("a", "b", "na", "nb", count("sa", "sb").alias("both"))
     return p.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
@@ -146,7 +154,7 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame, band: int, percent:
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], np.repeat(np.arange(len(sets)), size)[order]
-    ids, component = right["rep"].to_numpy(), right["component"].to_numpy()
+    ids, component = right["node"].to_numpy(), right["component"].to_numpy()
     found: list[tuple] = []
     for row in left.itertuples():
         own = np.frombuffer(row.set, np.uint64)
@@ -163,19 +171,19 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame, band: int, percent:
         both = np.bincount(owner[hits], minlength=len(sets))
         linked = np.flatnonzero(ok & (both * 100 >= (size + n - both) * percent))
         _, once = np.unique(component[linked], return_index=True)
-        found += [(row.rep, ids[k]) for k in linked[once]]
+        found += [(row.node, ids[k]) for k in linked[once]]
     return pd.DataFrame(found, columns=["a", "b"])
 
 
 def _links_within(rows: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All links of open buckets (band, rep, n, component) between different
+    """All links of open buckets (band, node, n, component) between different
     components, bucket by bucket in blocks: whatever a bucket's size, a task
     holds two blocks, and pairs that do not link leave no row."""
     sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(sets.withColumnRenamed("id", "rep"), "rep").join(classes.select("rep", "bands"), "rep")
+    rows = rows.select("band", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(sets, "node").join(classes.select("node", "bands"), "node")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         band, i, j = key
@@ -184,84 +192,82 @@ def _links_within(rows: DataFrame, sets: DataFrame, classes: DataFrame, percent:
             return pd.DataFrame({"a": [], "b": []})
         return compare_blocks(a, b, band, percent)
 
-    kind = rows.schema["rep"].dataType.simpleString()
-    return rows.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    return rows.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 #: Ids of this many documents, of 8 bytes, are broadcast; more are joined.
 BROADCAST_IDS = 2_000_000
 #: Rows of one bucket that a task compares at a time.
-BLOCK = 1_000
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85
-) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Equal sets are one class, compared once. Classes that share a band are
-    candidates; a link needs 100 * intersection >= percent * union of the
-    whole sets, and the bands are as long as `percent` allows (band_rows).
-    Components need no pair within them: first every member of a
-    bucket is compared with its least, then with its largest member, so a
-    group of copies costs two comparisons each; then, in the buckets of four
-    and more, all pairs whose ends are still in different components, in
-    blocks. So no link between candidates is lost, and no bucket is collected.
-
-    Null texts and texts without words have no set and link with nothing.
-    Rows that repeat an id are one node and each get its component; rows with
-    a null id link with nothing, have a null component and are kept. Other
-    columns are left out. An empty table gives an empty one.
-    """
+BLOCK = 400
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, by_row: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed, classes, groups): (doc_id, n_shingles, set_key) of every row;
+    (node, set_key, rep, copies) of every class of rows with an equal set; and
+    (node, component) of the classes that are linked, component a node.
+
+    Classes that share a band are candidates; a link needs 100 * intersection
+    >= percent * union of the whole sets, and the bands are as long as
+    `percent` allows (band_rows). Components need no pair within them: first
+    every member of a bucket is compared with its least, then with its largest
+    member, so a group of copies costs two comparisons each; then, in the
+    buckets of four and more, all pairs whose ends are still in different
+    components, in blocks. So no link between candidates is lost, and no
+    bucket is collected. Rows without an id are left out, and the classes of
+    rows with one id are linked as well, unless rows count one by one (by_row).
+
+    Null texts and texts without words have no set and no class."""
     signed = write_table(signatures(docs, id_col, text_col, width, band_rows(percent)), "signed")
-    linked = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    linked = signed.where("set_key IS NOT NULL" + " AND doc_id IS NOT NULL" * (not by_row))
     classes = linked.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")
     )
-    classes = write_table(classes, "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
+    classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("node", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
     # What is joined on a band is a table of its own, so that Spark can
     # broadcast it when small and split a hot bucket's rows when not.
     buckets = write_table(buckets, "buckets")
     members = write_table(banded.join(buckets, "band"), "members")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    # One text of each class that is compared: a row of its least id.
+    wanted = members.select("node").distinct().join(classes.select("node", "set_key", "rep"), "node")
+    wanted = write_table(wanted, "wanted")
+    ids = wanted.select("rep").distinct()
     if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to them
-        wanted = F.broadcast(wanted)
+        ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if signed.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        chosen = texts.join(wanted, "id", "left_semi")
-    else:  # a repeated id: the class's own text, and one row of it
-        key = F.udf(lambda t: hashlib.blake2b(shingle_set(bytes(t), width).tobytes(), digest_size=16).digest(), "binary")
-        chosen = texts.where("text IS NOT NULL").join(wanted, "id", "left_semi").withColumn("set_key", key(F.col("text").cast("binary")))
-        own = classes.select(F.col("rep").alias("id"), "set_key")
-        chosen = chosen.join(own, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"]).select("id", "text")
-    sets = write_table(shingle_sets(chosen, width), "sets")
-
-    edges = tried = None
-    component = None
+    chosen = texts.join(ids, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = shingle_sets(chosen, width).join(wanted.drop("rep").withColumnRenamed("set_key", "own"), F.col("set_key") == F.col("own")).select("node", "set")
+    repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("set_key").alias("lo"), F.max("set_key").alias("hi"))
+    repeated = write_table(repeated.where("rows > 1").select("doc_id", (F.col("lo") < F.col("hi")).alias("several")), "repeated")
+    if not repeated.isEmpty():  # then rows of one id may give one set twice
+        sets = sets.dropDuplicates(["node"])
+    sets = write_table(sets, "sets")
+
+    edges = _same_id(linked, classes, repeated.where("several" if not by_row else "false"))
+    component = write_table(connected_components(edges), "components")
+    tried = None
     for turn in ("least", "largest", "all"):
-        rows = members
-        if component is not None:
-            own = component.select(F.col("id").alias("rep"), "component")
-            rows = members.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        own = component.select(F.col("id").alias("node"), "component")
+        rows = members.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if turn != "least":
             several = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
             several = several.where("lo < hi" if turn == "largest" else "lo < hi AND m > 3").select("band")
             rows = write_table(rows.join(write_table(several, "several"), "band"), "open")
-        else:
-            rows = rows.withColumn("component", F.col("rep"))
-        if turn == "all":
             if rows.isEmpty():
-                continue
+                break
+        if turn == "all":
             found = write_table(_links_within(rows, sets, classes, percent), "links")
         else:
             pick = F.min if turn == "least" else F.max
-            centres = rows.groupBy("band").agg(pick(F.struct("rep", "n", "component")).alias("c"))
-            centres = centres.select("band", F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
+            centres = rows.groupBy("band").agg(pick(F.struct("node", "n", "component")).alias("c"))
+            centres = centres.select("band", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
             pairs = rows.join(write_table(centres, "centres"), "band").where("component <> cb").where(_similar_sizes("n", "nb", percent))
-            first = F.col("rep") < F.col("b")
+            first = F.col("node") < F.col("b")
             pairs = pairs.select(
-                F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"),
+                F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"),
                 F.when(first, F.col("n")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("n")).alias("nb"),
             ).distinct()
             if tried is not None:
@@ -269,19 +275,81 @@ def near_duplicates(
             pairs = write_table(pairs, "pairs")
             tried = pairs.select("a", "b")
             found = write_table(_verified(pairs, sets, percent), "links")
-        edges = found if edges is None else edges.unionAll(found)
+        edges = edges.unionAll(found)
         component = write_table(connected_components(edges), "components")
-    out = signed.select("doc_id", "n_shingles", "set_key")
-    multi = classes.where("copies > 1").select("set_key", "rep")
-    out = out.join(multi, "set_key", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    if component is not None:
-        out = out.join(component.withColumnRenamed("id", "rep"), "rep", "left")
-        out = out.withColumn("component_id", F.coalesce("component", "rep"))
-    else:
-        out = out.withColumn("component_id", F.col("rep"))
+    groups = component.select(F.col("id").alias("node"), "component")
+    return signed.select("doc_id", "n_shingles", "set_key"), classes.select("node", "set_key", "rep", "copies"), groups
+
+
+def _same_id(linked: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of each id that has several, each
+    class to the id's least."""
+    own = linked.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_key").distinct()
+    own = own.join(classes.select("set_key", "node"), "set_key")
+    least = own.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return write_table(own.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"), "same-id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    component_id is the least id that links reach (near_classes); equal sets
+    are one class, compared once. Rows that repeat an id are one node and each
+    get its component, whatever their texts; rows without a set are alone.
+    Rows with a null id link with nothing, have a null component and are
+    kept. Other columns are left out. An empty table gives an empty one.
+    """
+    signed, classes, groups = near_classes(docs, id_col, text_col, width, percent)
+    named = classes.join(groups, "node")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = named.join(least, "component").select("set_key", "least")
+    multi = classes.where("copies > 1").select("set_key", "rep").join(named.select("set_key"), "set_key", "left_anti")
+    told = named.unionAll(multi.select("set_key", F.col("rep").alias("least")))
+    out = signed.join(told, "set_key", "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the least
+    id (nulls last; of several, that of the least digest of its set).
+
+    Decided by row, not by id: of the rows under one id, or under null, each
+    stays or goes by its own text, one row of equal ones stays, and a text
+    that nothing else holds stays. Unlike in near_duplicates, an id does not
+    link its rows. Rows without words stay. All columns stay as they are; an
+    empty table gives an empty one. Only ids are joined to the texts; of ids
+    that repeat, the texts are hashed once more to tell the rows apart."""
+    signed, classes, groups = near_classes(docs, id_col, text_col, width, percent, by_row=True)
+    own = classes.join(groups, "node", "left").where("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+    best = own.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "set_key")).alias("best"))
+    own = own.join(best, "component").select(
+        F.col("set_key").alias("__q_set"), F.col("rep").alias("__q_rep"), (F.col("set_key") == F.col("best.set_key")).alias("__q_best")
+    )
+    own = write_table(own, "chosen")
+    stays = F.col("__q_best") & F.col("__q_id").eqNullSafe(F.col("__q_rep"))
+    repeated = signed.groupBy(F.col("doc_id").alias("__q_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__q_id")
+    repeated = write_table(repeated, "repeated-ids")
+    gone = signed.select(F.col("doc_id").alias("__q_id"), "set_key").join(own, F.col("set_key") == F.col("__q_set")).where(~stays)
+    gone = write_table(gone.select("__q_id").where("__q_id IS NOT NULL").distinct(), "gone")
+    same = F.col(id_col).eqNullSafe(F.col("__q_id"))
+    if repeated.isEmpty():
+        return docs.join(gone, F.col(id_col) == F.col("__q_id"), "left_anti")
+    single = docs.join(repeated, same, "left_anti").join(gone, F.col(id_col) == F.col("__q_id"), "left_anti")
+
+    @F.arrow_udf("binary")
+    def digest(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(t.as_py(), width) for t in texts)
+        return pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())
+
+    rest = docs.join(repeated, same, "left_semi").withColumn("__q_key", digest(F.col(text_col).cast("binary")))
+    rest = rest.join(own, F.col("__q_key") == F.col("__q_set"), "left").withColumn("__q_id", F.col(id_col))
+    alone = rest.where("__q_set IS NULL").select(*docs.columns)
+    return single.unionAll(alone).unionAll(rest.where(stays).dropDuplicates(["__q_key"]).select(*docs.columns))
+
+
 NEAR_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -22,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm_language": _over("documents", langid.language_digest),
     "op3_hilbert_shards": _over("documents", hilbert.shard_digest),
     "op4_pivot_links": _over("embeddings", pivots.vector_links),
-    "op5_minmax_dedup": _over("documents", minhash.near_duplicates),
+    "op5_minmax_dedup": _over("documents", lambda docs: minhash.near_duplicates(docs, percent=85)),
     "op6_weighted_fair_mix": _over("documents", mixing.mix_digest),
     "op7_iblt_fingerprints": _over("documents", sketches.version_fingerprints),
     "op8_crf_quality": _quality,

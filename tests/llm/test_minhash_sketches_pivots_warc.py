@@ -49,16 +49,12 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near_brute(rows):
-    sets = defaultdict(list)
-    for d, t in rows:
-        if d is not None:
-            sets[d].append(shingles(t))
-    u, flat = Union(), [(d, s) for d, own in sets.items() for s in own if s]
+def near_brute(rows, percent=85):
+    u, flat = Union(), [(d, s) for d, t in rows if d is not None and (s := shingles(t))]
     for i, (a, s) in enumerate(flat):
         for b, t in flat[:i]:
             both = len(s & t)
-            if 100 * both >= 85 * (len(s) + len(t) - both):
+            if 100 * both >= percent * (len(s) + len(t) - both):
                 u.join(a, b)
     return u
 
@@ -75,8 +71,10 @@ def test_near_duplicates_match_brute_force(spark):
     base = [[f"t{rng.randint(0, 5000)}" for _ in range(200)] for _ in range(12)]
     rows = [(i, edited(rng, base[i % 12], rng.choice([0, 0, 1, 2, 3, 4, 5])), *[None] * 6) for i in range(160)]
     rows = [*rows, *((r[0] + 1000 if r[0] is not None else None, *r[1:]) for r in awkward())]
+    # one id with unlike texts: its rows are one node and carry links on
+    rows += [(501, "lone " * 9, *[None] * 6), (501, rows[3][1], *[None] * 6), (502, "lone " * 9, *[None] * 6), (503, "lone " * 8 + "x", *[None] * 6)]
     u = near_brute([(r[0], r[1]) for r in rows])
-    out = minhash.near_duplicates(frame(spark, rows))
+    out = minhash.near_duplicates(frame(spark, rows), percent=85)
     got = out.collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     for r in got:
@@ -89,6 +87,29 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """By row: repeated and null ids, unlike texts under one id, pairs of a
+    similarity between 0.80 and 0.85."""
+    rng = random.Random(12)
+    base = [[f"t{rng.randint(0, 5000)}" for _ in range(200)] for _ in range(6)]
+    rows = [(rng.choice([None, i, i // 3]), edited(rng, base[i % 6], rng.choice([0, 0, 1, 2, 3, 4])), None, f"s{i}", *[None] * 4) for i in range(90)]
+    rows += [(7, "lone text of its own here", *[None] * 6), (7, None, *[None] * 6), (7, " ", *[None] * 6), (None, "", *[None] * 6), rows[4], rows[4]]
+    rows += awkward()
+    u = near_brute([(i, r[1]) for i, r in enumerate(rows)], 80)
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[u.root(i) if shingles(r[1]) else (i,)].append(r)
+    near = [len(shingles(a[1]) & shingles(b[1])) / len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[:84], rows[6:90], strict=True)]
+    assert any(0.80 <= x < 0.85 for x in near)
+    out = minhash.drop_near_duplicates(frame(spark, rows))
+    got = Counter(tuple(r)[:2] for r in out.collect())
+    assert out.columns == frame(spark, []).columns and sum(got.values()) == len(groups)
+    for own in groups.values():
+        least = min((r[0] is None, r[0] or 0) for r in own)
+        assert sum(got[r[:2]] for r in set(own) if (r[0] is None, r[0] or 0) == least) >= 1
+    assert minhash.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize(("percent", "edits"), [(80, (4, 5)), (60, (9, 10))])
 def test_near_duplicates_at_lower_similarities(spark, percent, edits):
     rng = random.Random(3)
