@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,22 +160,33 @@ def edit_with_next(text: str, following: str) -> str:
     return text[: n - k] + following[:k]
 
 
-def _bounds(ids: DataFrame, n: int) -> list:
-    """The largest id of each of about n ranges, in descending order."""
-    ranges = ids.where("id IS NOT NULL").repartitionByRange(n, F.col("id").desc())
-    tops = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.max("id").alias("top"))
-    return sorted((r["top"] for r in tops.collect()), reverse=True)
+def _bounds(keys: DataFrame, n: int) -> list[tuple]:
+    """The largest key of each of about n ranges, in descending order."""
+    key = [F.col("known").desc(), F.col("id").desc_nulls_last(), F.col("tie").desc()]
+    ranges = keys.repartitionByRange(n, *key)
+    tops = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("known", "id", "tie")).alias("top"))
+    return sorted(((r["top"]["known"], r["top"]["id"] if r["top"]["known"] else 0, r["top"]["tie"]) for r in tops.collect()), reverse=True)
+
+
+def _hot_ids(ids: DataFrame, n: int) -> list:
+    """Ids that more rows repeat than a range should have (null is one); there
+    are fewer than n of them."""
+    counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    total = ids.count()
+    return [r["id"] for r in counts.where(F.col("n") * n > F.lit(total)).collect()]
 
 
 def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
-    Rows stand by descending id (repeated ids by text, null ids last) in a
-    ring. They are dealt to tasks by ranges of ids, whose bounds (one id per
-    range) a scan of the ids alone finds; the first row of a range is also
-    sent to the range before it, so each task streams through its rows and
-    has every row's successor. Texts are shuffled once.
+    Rows stand by descending id (null ids last; of one id, by descending text,
+    where it is in more rows than a range should have by a hash of the text
+    first) in a ring. They are dealt to tasks by ranges, whose bounds (one key
+    per range) a scan of the ids alone finds, so that an id or null in a third
+    of all rows fills many ranges too; the first row of a range is also sent
+    to the range before it, so each task streams through its rows and has
+    every row's successor. Texts are shuffled once.
 
     Null texts count as empty: no digests, and like each other. Other
     columns are left out; an empty table gives an empty one.
@@ -183,26 +195,32 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     n = partitions(spark)
-    tops = _bounds(rows.select("id"), n)
+    hot = _hot_ids(rows.select("id"), n)
+    is_hot = F.col("id").isin([x for x in hot if x is not None]) if any(x is not None for x in hot) else F.lit(False)
+    is_hot = F.coalesce(is_hot, F.lit(False)) | (F.col("id").isNull() & F.lit(None in hot))
+    tie = F.when(is_hot, F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("id", "text", F.col("id").isNotNull().alias("known"), tie.alias("tie"))
+    tops = _bounds(rows.select("known", "id", "tie"), n)
     index = {t: i for i, t in enumerate(tops)}
-    ascending = np.array(tops[::-1])
+    ascending = tops[::-1]
     last = max(0, len(tops) - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            bucket = [last if x is None else len(tops) - 1 - int(np.searchsorted(ascending, x)) for x in ids]
-            extra = [i for i, x in enumerate(ids) if (x in index if x is not None else not tops)]
-            before = [index[ids[i]] - 1 if ids[i] is not None and index[ids[i]] else last for i in extra]
+            ids, known, ties = (b.column(i).to_pylist() for i in (0, 2, 3))
+            keys = [(k, x if k else 0, t) for k, x, t in zip(known, ids, ties, strict=True)]
+            bucket = [last - bisect_left(ascending, x) for x in keys]
+            extra = [i for i, x in enumerate(keys) if x in index]
+            before = [index[keys[i]] - 1 if index[keys[i]] else last for i in extra]
             both = b.take(pa.array([*range(len(ids)), *extra], pa.int64()))
             mark = [False] * len(ids) + [True] * len(extra)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*bucket, *before], pa.int32()), pa.array(mark), both.column(0), both.column(1)], ["bucket", "next", "id", "text"]
+                [pa.array([*bucket, *before], pa.int32()), pa.array(mark), both.column(0), both.column(3), both.column(1)], ["bucket", "next", "id", "tie", "text"]
             )
 
-    dealt = rows.mapInArrow(deal, f"bucket int, next boolean, id {kind}, text string")
+    dealt = rows.mapInArrow(deal, f"bucket int, next boolean, id {kind}, tie long, text string")
     dealt = dealt.repartitionById(max(1, len(tops)), "bucket")
-    dealt = dealt.sortWithinPartitions("next", F.col("id").desc_nulls_last(), "text")
+    dealt = dealt.sortWithinPartitions("next", F.col("id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc())
 
     def sketch(held: list[tuple]) -> pa.RecordBatch:
         """All but the last of the rows held, which is the others' successor."""

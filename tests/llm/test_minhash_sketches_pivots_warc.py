@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import minhash, pivots, sketches, warc
@@ -166,6 +167,23 @@ def test_fingerprints_match_brute_force(spark):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_fingerprints_with_ids_that_many_rows_repeat(spark):
+    """A third of the rows without an id, a third under one id: every row has
+    its successor in the ring, and no range holds a hot id whole."""
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {rng.randint(0, 150)} é " * rng.randint(1, 4), *[None] * 6) for i in range(600)]
+    frame_ = frame(spark, rows).repartition(5)
+    signed = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode(), 42))
+    ring = sorted(((r[0] is not None, r[0] or 0, signed(r[1]) if r[0] in (None, 5) else 0, r[1]) for r in rows), reverse=True)
+    want = Counter()
+    for (known, d, _, t), (*_, u) in zip(ring, ring[1:] + ring[:1], strict=True):
+        want[d if known else None, hashlib.sha256(sketches.edit_with_next(t, u).encode()).hexdigest()] += 1
+    got = sketches.version_fingerprints(frame_).collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+    hot = sketches._hot_ids(frame_.selectExpr("doc_id AS id"), 4)
+    assert set(hot) == {None, 5}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3])
 def test_fingerprints_of_few_or_odd_rows(spark, n):
     rows = [(i, "one two three four five six", *[None] * 6) for i in range(n)]
