@@ -52,6 +52,7 @@ def mix_sources(
     max_epochs: int = 3,
     weights: tuple[int, ...] = WEIGHTS,
     seed: str = "",
+    order_cols: tuple[str, ...] = (),
 ) -> DataFrame:
     """Every row of docs, with size, source_size, target and taken.
 
@@ -73,11 +74,11 @@ def mix_sources(
         F.col(id_col).alias("__q_doc"), F.col(source_col).alias("source"), size.cast("long").alias("size"), *keep
     ).withColumn("__q_rid", F.monotonically_increasing_id())
     base = write_table(base, "mix")
-    slim = base.select("__q_rid", "__q_doc", "source", "size")
+    slim = base.select("__q_rid", "__q_doc", "source", "size", *[F.col(c).alias(f"__q_o{i}") for i, c in enumerate(order_cols)])
     targets = write_table(source_targets(slim, max_epochs, weights), "targets")
     place = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("__q_doc").cast("string"), F.lit("null"))).cast("binary"))
     queued = running_totals(
-        slim.withColumn("place", place), "size", ["place", "__q_doc", "__q_rid"], ["source"], tag="queue"
+        slim.withColumn("place", place), "size", ["place", "__q_doc", *[f"__q_o{i}" for i in range(len(order_cols))], "__q_rid"], ["source"], tag="queue"
     )
     right = targets.select(F.col("source").alias("__q_source"), "source_size", "target")
     queued = queued.where("size > 0").join(right, F.col("source").eqNullSafe(F.col("__q_source")))
