@@ -15,12 +15,14 @@ _own_shared: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where there is none (tests on
-    one machine) is a local folder made and set."""
+    """The session's spark.checkpoint.dir; only where there is none and all of
+    Spark runs in one process (tests) is a local folder made and set."""
     global _own_shared
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if place:
         return place.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_shared is None:
         _own_shared = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         spark.sparkContext.setCheckpointDir(_own_shared)
