@@ -30,6 +30,9 @@ _SPACE_DROPPED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s
 _WORDS = {"pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
+_MARK = "\ue000"
+
+
 def keeps_words_apart(spec: dict) -> bool:
     normalizer, pre, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
     steps = pre.get("pretokenizers") or [{}, {}]
@@ -131,10 +134,9 @@ class WordEncoder:
         token's text are encoded alone."""
         odd = [w for w in words if "<|" in w]
         plain = [w for w in words if "<|" not in w]
-        normal = self.tokenizer.normalizer.normalize_str
         for lo in range(0, len(plain), 2000):
             part = plain[lo : lo + 2000]
-            width = np.fromiter((len(w) if w.isascii() and w.isprintable() else len(normal(w).replace(" ", "").encode()) for w in part), np.int64, len(part))
+            width = self.normal_bytes(part)
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             upto = np.concatenate([[0], np.cumsum(self.width[ids])])
             at = np.searchsorted(upto, np.concatenate([[0], np.cumsum(width)]))
@@ -145,6 +147,20 @@ class WordEncoder:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
             self.store(odd, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
 
+    def normal_bytes(self, words: list[str]) -> np.ndarray:
+        """UTF-8 bytes of each word as normalised, without white space. Other
+        than printable ASCII is normalised in one text, apart by a mark that
+        no rule touches."""
+        width = np.fromiter(map(len, words), np.int64, len(words))
+        odd = [i for i, w in enumerate(words) if not (w.isascii() and w.isprintable())]
+        normal, texts = self.tokenizer.normalizer.normalize_str, [words[i] for i in odd]
+        found = normal(_MARK.join(texts)).replace(" ", "").split(_MARK)
+        if len(found) != len(odd):  # a word has the mark
+            found = [normal(t).replace(" ", "") for t in texts]
+        if odd:
+            width[odd] = [len(t.encode()) for t in found]
+        return width
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
@@ -251,40 +267,45 @@ class Packer:
         """Pack what waits; unless it is the last call, keep what does not
         fill a sequence for a later partner."""
         whole, segments, most_loss = self.room
-        keys: list[tuple[int, int]] = []
-        size = loss = weight = np.zeros(0)
+        keys = list(self.buckets)
+        size, free = np.array(keys, np.float64).reshape(-1, 2).T.copy()  # of an empty bucket: infinite, none
+        loss = size - free
+        room_weight, loss_weight = size / max(whole, 1) ** 2, loss / max(most_loss, 1) ** 2
         while self.buckets and (last or self.tokens >= 2 * whole):
             room, seats, bears, offset = whole, segments, most_loss, 0
             while seats > 0 and self.buckets:
-                if len(keys) != len(self.buckets):  # else keys are the buckets', in order
-                    keys = list(self.buckets)
-                    need = np.array(keys, np.float64)
-                    size, loss = need[:, 0], need[:, 0] - need[:, 1]
-                    weight = np.stack([size / max(whole, 1) ** 2, loss / max(most_loss, 1) ** 2])
-                fits = (size <= room) & (loss <= bears)
-                at = int(np.where(fits, weight[0] * room + weight[1] * bears, -1.0).argmax())
-                if fits[at]:
-                    key = keys[at]
-                    length, free = key
+                score = room_weight * room + loss_weight * bears
+                score[(size > room) | (loss > bears)] = -1.0
+                at = int(score.argmax())
+                if score[at] >= 0:
+                    length, part = keys[at]
                 elif self.cut and room > 0:
-                    part = np.minimum(np.minimum(size, room), size - loss + bears)
-                    at = int((part * (1 << 32) + size).argmax())
-                    key, length = keys[at], int(part[at])
+                    most = np.minimum(np.minimum(size, room), free + bears)
+                    at = int(most.argmax())
+                    length = int(max(0, most[at]))
                     if length < 1:
                         break
-                    free = min(length, key[1])  # its tokens that bear no loss come first
+                    part = min(length, keys[at][1])  # its tokens that bear no loss come first
                 else:
                     break
+                key = keys[at]
                 own = self.buckets[key]
                 item = own.pop()
                 if not own:
                     del self.buckets[key]
+                    size[at] = loss[at] = np.inf
+                    free[at] = -np.inf
                 self.tokens -= key[0]
-                self.place(item, length, free, self.next_id, offset)
+                self.place(item, length, part, self.next_id, offset)
                 if length < key[0]:
-                    self.wait((item[0], item[1], item[2] + length), key[0] - length, key[1] - free)
-                    keys = []
-                room, seats, bears, offset = room - length, seats - 1, bears - (length - free), offset + length
+                    rest = key[0] - length, key[1] - part
+                    if rest not in self.buckets:
+                        keys.append(rest)
+                        size, free, loss = (np.append(x, v) for x, v in ((size, rest[0]), (free, rest[1]), (loss, rest[0] - rest[1])))
+                        room_weight = np.append(room_weight, rest[0] / max(whole, 1) ** 2)
+                        loss_weight = np.append(loss_weight, (rest[0] - rest[1]) / max(most_loss, 1) ** 2)
+                    self.wait((item[0], item[1], item[2] + length), *rest)
+                room, seats, bears, offset = room - length, seats - 1, bears - (length - part), offset + length
             self.next_id += 1
 
     def flush(self) -> list[tuple]:
