@@ -2,31 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
 
 
+#: So few edges are joined by one task.
+SMALL = 20_000
+
+
+def joined(edges: Iterable[tuple]) -> dict:
+    """node -> the least node that the edges reach."""
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        for x in (a, b):
+            up.setdefault(x, x)
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in up}
+
+
+def _join_few(left: DataFrame) -> DataFrame:
+    """(id, to) of at most SMALL edges (hi, lo), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kind = [], None
+        for b in batches:
+            kind = b.column(0).type
+            table += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        found = joined(table)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), kind), pa.array(list(found.values()), kind)], ["id", "to"])
+
+    kind = left.schema["hi"].dataType.simpleString()
+    return left.select("hi", "lo").coalesce(1).mapInArrow(run, f"id {kind}, to {kind}")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every node that has an edge; component is the
     smallest id that links reach.
 
     Each round maps every node to the least of itself and its neighbours,
     rewrites the edges by that map and drops loops and repeats; the edges
-    shrink geometrically, and stars vanish in one round. Edges, maps and
-    labels stay in Spark; only the question whether an edge is left comes to
-    the driver. Rows with a null end are no edges; an empty table gives an
+    shrink geometrically, and stars vanish in one round. The last SMALL edges
+    are joined by one task. Edges, maps and labels stay in Spark; only the
+    number of edges left comes to the driver. Rows with a null end are no edges; an empty table gives an
     empty result.
     """
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     pairs = pairs.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     left = write_table(pairs.where("hi > lo").distinct(), "edges")
     labels = None
-    while not left.isEmpty():
-        ends = left.selectExpr("hi AS id", "lo AS other").unionAll(left.selectExpr("lo AS id", "hi AS other"))
-        step = ends.groupBy("id").agg(F.min("other").alias("least"))
-        step = write_table(step.select("id", F.least("id", "least").alias("to")), "step")
+    while n := left.count():
+        if n <= SMALL:
+            step = _join_few(left)
+        else:
+            ends = left.selectExpr("hi AS id", "lo AS other").unionAll(left.selectExpr("lo AS id", "hi AS other"))
+            step = ends.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("to"))
+        step = write_table(step, "step")
         if labels is None:
             labels = step.select("id", F.col("to").alias("component"))
         else:
@@ -34,6 +78,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             labels = labels.join(nxt, "component", "left").select(
                 "id", F.coalesce("to", "component").alias("component")
             )
+        if n <= SMALL:
+            return labels
         hi = step.select(F.col("id").alias("hi"), F.col("to").alias("x"))
         lo = step.select(F.col("id").alias("lo"), F.col("to").alias("y"))
         moved = left.join(hi, "hi").join(lo, "lo")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
-from .components import connected_components
+from .components import SMALL, connected_components
 
 
 def canonical(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -99,11 +103,14 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
     Boruvka rounds: every component picks its heaviest outgoing edge (an
     aggregation with map-side combine), the picked edges join components, and
-    edges inside a component go. At most log2(n) rounds; nothing but whether
-    an edge is left comes to the driver."""
+    edges inside a component go. At most log2(n) rounds, and the last few
+    edges in one task; nothing but their number comes to the driver."""
     left = write_table(edges.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv")), "forest")
     chosen = None
-    while not left.isEmpty():
+    while n := left.count():
+        if n <= SMALL:
+            own = write_table(_forest_of_few(left), "picked")
+            return own if chosen is None else chosen.unionAll(own)
         # largest weight first, then the smaller pair: ranks make that a max
         key = F.struct((-F.col("w")).alias("w"), "u", "v")
         sides = left.select(F.col("cu").alias("c"), key.alias("k")).unionAll(left.select(F.col("cv").alias("c"), key.alias("k")))
@@ -120,6 +127,32 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return chosen if chosen is not None else edges.select("u", "v", "w").limit(0)
 
 
+def _forest_of_few(left: DataFrame) -> DataFrame:
+    """The forest of at most SMALL edges (u, v, w, cu, cv) between components,
+    heaviest first, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["u", "v", "w", "cu", "cv"])])
+        rows = rows.sort_values(["w", "u", "v"], ascending=[False, True, True])
+        up: dict = {}
+
+        def root(x):
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        kept = []
+        for a, b in zip(rows["cu"], rows["cv"], strict=True):
+            a, b = root(a), root(b)
+            kept.append(a != b)
+            up[a] = b
+        yield rows[np.array(kept, bool)][["u", "v", "w"]]
+
+    return left.coalesce(1).mapInPandas(run, left.select("u", "v", "w").schema)
+
+
 def sigma_profile(edges: DataFrame, grid: list[float]) -> DataFrame:
     """(sigma, id, component) for each grid value: which nodes connect at a
     floor of sigma. Components at a lower floor come from the forest alone,

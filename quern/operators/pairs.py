@@ -2,53 +2,145 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one block, and the pairs beyond which a comparison is refused
-#: unless the caller raises the ceiling.
-BLOCK, MAX_PAIRS = 1_024, 5_000_000_000
+#: Rows of one block, of one matrix product within, and the pairs beyond which
+#: a comparison is refused unless the caller raises the ceiling.
+BLOCK, TILE, MAX_PAIRS = 8_192, 1_024, 500_000_000_000
 
 
-def cosine_pairs(vectors: DataFrame, floor: float, key: str = "id", vec: str = "vector", max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """(a, b, sim) with a < b and sim >= floor, cosines in double precision;
-    zero and null vectors have no pairs.
-
-    Every row is compared with every other, as an exact threshold on dense
-    vectors asks for: rows are cut into blocks, a group is two blocks, and one
-    matrix product compares them. The number of pairs is estimated from the
-    row count and refused above max_pairs, before any work. For thresholds
-    near 1 use an index."""
-    rows = vectors.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
+def _block_pairs(vectors: DataFrame, key: str, vec: str, max_pairs: int, extra: list[str]) -> DataFrame:
+    """(id, v, extra.., block, i, j): every vector once for each pair of blocks
+    that its own takes part in. v is a unit vector in doubles, as bytes."""
+    rows = vectors.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"), *extra).where("v IS NOT NULL")
     n = rows.count()
     if n * (n - 1) // 2 > max_pairs:
         raise ValueError(f"{n} vectors make more than {max_pairs} pairs")
+
+    @F.pandas_udf("binary")
+    def unit(v: pd.Series) -> pd.Series:
+        def scaled(x):
+            size = np.sqrt((x * x).sum())
+            return (x / (size if size > 0 else 1.0)).tobytes()
+
+        return v.map(scaled)
+
+    rows = rows.withColumn("v", unit("v"))
     blocks = max(1, -(-n // BLOCK))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
+def _tiles(left: pa.Table, right: pa.Table) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Cosines of the rows of two tables, a tile at a time."""
+    a, b = (np.frombuffer(b"".join(t["v"].to_pylist()), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+    for x in range(0, len(a), TILE):
+        for y in range(0, len(b), TILE):
+            yield slice(x, x + TILE), slice(y, y + TILE), a[x : x + TILE] @ b[y : y + TILE].T
 
-    def compare(pair: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        i, j = pair
-        left, right = group[group["block"] == i], group[group["block"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
 
-        def unit(part):
-            v = np.stack(part["v"].to_numpy())
-            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            return v / np.where(n == 0, 1.0, n)
+def _sides(key: tuple, group: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
+    i, j = (k.as_py() for k in key)
+    block = np.asarray(group["block"].combine_chunks())
+    return group.filter(pa.array(block == i)), group.filter(pa.array(block == j)), i == j
 
-        sims = unit(left) @ unit(right).T
-        x, y = left["id"].to_numpy(), right["id"].to_numpy()
-        r, c = np.nonzero((sims >= floor) & ((x[:, None] < y[None]) if i == j else (x[:, None] != y[None])))
-        a, b = x[r], y[c]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sims[r, c]})
 
+def cosine_pairs(vectors: DataFrame, floor: float, key: str = "id", vec: str = "vector", max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """(a, b, sim) with a < b and sim >= floor, cosines in double precision;
+    zero and null vectors have no pairs.
+
+    Every row is compared with every other, as an exact threshold on dense
+    vectors asks for: rows are cut into blocks, a group is two blocks, and
+    matrix products of tiles compare them. A row is sent once for each block,
+    so a million vectors travel 123 times. The number of pairs is estimated
+    from the row count and refused above max_pairs, before any work. For
+    thresholds near 1 use an index."""
+    rows = _block_pairs(vectors, key, vec, max_pairs, [])
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("i", "j").applyInPandas(compare, f"a {kind}, b {kind}, sim double")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        left, right, same = _sides(key, group)
+        found: list[pa.Table] = []
+        x, y = (t["id"].to_numpy() for t in (left, right))
+        for r, c, sims in _tiles(left, right) if left.num_rows and right.num_rows else ():
+            p, q = x[r][:, None], y[c][None]
+            at, to = np.nonzero((sims >= floor) & ((p < q) if same else (p != q)))
+            a, b = x[r][at], y[c][to]
+            found.append(pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sims[at, to]}))
+        return pa.concat_tables(found) if found else pa.table({"a": x[:0], "b": x[:0], "sim": np.zeros(0)})
+
+    return rows.select("id", "v", "block", "i", "j").groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, sim double")
+
+
+def cosine_histogram(
+    vectors: DataFrame, label: str, bits: int, bins: int = 0, parent: tuple[int, int] | None = None, key: str = "id", vec: str = "vector", max_pairs: int = MAX_PAIRS
+) -> DataFrame:
+    """(within, bin, n): how many of all pairs have their cosine in each of
+    2**bits equal bins on -1..1, pairs of one label and of two apart; with
+    `parent` (bits, bin) only those in that wider bin; with `bins` also in so
+    many equal bins, numbered from -1 down. A pair of blocks gives its counts,
+    never pairs."""
+    rows = _block_pairs(vectors, key, vec, max_pairs, [F.col(label).cast("string").alias("label")])
+
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        left, right, same = _sides(key, group)
+        found = []
+        x, y = (t["id"].to_numpy() for t in (left, right))
+        lx, ly = (np.array(t["label"].to_pylist(), object) for t in (left, right))
+        for r, c, sims in _tiles(left, right) if left.num_rows and right.num_rows else ():
+            p, q = x[r][:, None], y[c][None]
+            ok = (p < q) if same else (p != q)
+            place = np.clip((sims + 1) / 2, 0, 1 - 1e-16)  # doubling is exact, so bins nest
+            if parent:
+                ok &= np.floor(place * 2.0 ** parent[0]) == parent[1]
+            own = (lx[r][:, None] == ly[c][None])[ok]
+            place = place[ok]
+            codes = [np.floor(place * 2.0**bits).astype(np.int64)] + [-1 - np.minimum(np.floor(place * bins).astype(np.int64), bins - 1)] * (bins > 0)
+            for code in codes:
+                value, n = np.unique(code * 2 + own, return_counts=True)
+                found.append(pa.table({"within": value % 2 == 1, "bin": value // 2, "n": n}))
+        none = pa.table({"within": np.zeros(0, bool), "bin": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        return pa.concat_tables(found or [none]).group_by(["within", "bin"]).aggregate([("n", "sum")]).rename_columns(["within", "bin", "n"])
+
+    counts = rows.select("id", "v", "label", "block", "i", "j").groupBy("i", "j").applyInArrow(count, "within boolean, bin long, n long")
+    return counts.groupBy("within", "bin").agg(F.sum("n").alias("n"))
+
+
+def cosine_overlap(vectors: DataFrame, label: str, bins: int = 20, key: str = "id", vec: str = "vector") -> DataFrame:
+    """One row over all pairs: overlap (of the shares of pairs of one label
+    and of two in equal bins on -1..1), median_within and median_cross.
+
+    The medians come from counts alone, by two rounds: the bin of 2**-14 that
+    holds the middle, then that bin in bins of 2**-46, far below the rounding
+    of a cosine's sum."""
+    first = [tuple(r) for r in cosine_histogram(vectors, label, 15, bins, None, key, vec).collect()]  # as many rows as bins
+    total = {w: sum(n for within, b, n in first if within == w and b >= 0) for w in (True, False)}
+    share = {(w, b): n / total[w] for w, b, n in first if b < 0}
+    overlap = sum(min(share.get((True, -1 - b), 0.0), share.get((False, -1 - b), 0.0)) for b in range(bins)) if all(total.values()) else 0.0
+    known: dict[int, list] = {}
+
+    def at_rank(within: bool, rank: int) -> float:
+        for b, n in sorted((b, n) for w, b, n in first if w == within and b >= 0):
+            if rank < n:
+                break
+            rank -= n
+        if b not in known:
+            known[b] = [tuple(r) for r in cosine_histogram(vectors, label, 47, 0, (15, b), key, vec).collect()]
+        for c, n in sorted((c, n) for w, c, n in known[b] if w == within):
+            if rank < n:
+                break
+            rank -= n
+        return (c + 0.5) / 2.0**46 - 1
+
+    middle = lambda w: (at_rank(w, (total[w] - 1) // 2) + at_rank(w, total[w] // 2)) / 2 if total[w] else None
+    return vectors.sparkSession.createDataFrame([(overlap, middle(True), middle(False))], "overlap double, median_within double, median_cross double")
 
 
 def near_duplicates(notes: DataFrame, threshold: float = 0.93) -> DataFrame:
