@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import ids, scoring, text, vectors
 from .functions.ranks import global_rank
 from .linalg import components as dense
-from .operators import causal, claims, graph, ledger, merge, metrics, pairs, reconcile, search, views
+from .operators import causal, claims, graph, ledger, merge, metrics, pairs, reconcile, reports, search, views
 from .operators.components import connected_components
 from .plans import jobs as plans
 from .scratch import write_table
@@ -67,7 +67,7 @@ def edges_at(spark: SparkSession, sf_dir: str, sigma: float) -> DataFrame:
 
 
 def edges_sql(sigma: float) -> str:
-    return f"""e AS (SELECT u, v, w FROM (SELECT x.vec_id AS u, y.vec_id AS v,
+    return f"""e AS MATERIALIZED (SELECT u, v, w FROM (SELECT x.vec_id AS u, y.vec_id AS v,
   list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS w
   FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE w >= {sigma})"""
 
@@ -188,21 +188,30 @@ def spanning_forest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.spanning_forest(edges_at(spark, sf_dir, 0.35)).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
+GRID = (0.35, 0.40, 0.45)
+
+
 def _sigma_sql() -> str:
-    parts = [
-        f"SELECT a.n AS a, b.n AS b, {s} AS s FROM (WITH RECURSIVE e AS (SELECT * FROM e0 WHERE w >= {s}), {ENDS}, {COMPONENTS} SELECT * FROM k) a JOIN (WITH RECURSIVE e AS (SELECT * FROM e0 WHERE w >= {s}), {ENDS}, {COMPONENTS} SELECT * FROM k) b ON a.component = b.component AND a.n < b.n"
-        for s in (0.35, 0.40, 0.45)
-    ]
-    return f"WITH {edges_sql(0.35).replace('e AS (', 'e0 AS (', 1)} SELECT a, b, max(s)::DOUBLE AS sigma_star FROM ({' UNION ALL '.join(parts)}) WHERE a < 60 AND b < 60 GROUP BY a, b"
+    parts = [f"SELECT {s}::DOUBLE AS sigma, n AS id, component FROM (WITH RECURSIVE e AS (SELECT * FROM e0 WHERE w >= {s}), {ENDS}, {COMPONENTS} SELECT * FROM k)" for s in GRID]
+    return f"WITH {edges_sql(GRID[0]).replace('e AS ', 'e0 AS ', 1)} {' UNION ALL '.join(parts)}"
 
 
 @query(_sigma_sql())
-def sigma_star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs among the first sixty notes (a report) by the largest grid floor
-    that connects them, through any note."""
-    p = write_table(graph.sigma_profile(edges_at(spark, sf_dir, 0.35), [0.35, 0.40, 0.45]), "profile").where("id < 60")
-    both = p.select("sigma", "component", F.col("id").alias("a")).join(p.select("sigma", "component", F.col("id").alias("b")), ["sigma", "component"]).where("a < b")
-    return both.groupBy("a", "b").agg(F.max("sigma").alias("sigma_star"))
+def sigma_star_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every note at each floor: two notes have the largest
+    floor at which theirs is one, without a row for each pair."""
+    return graph.sigma_profile(edges_at(spark, sf_dir, GRID[0]), list(GRID))
+
+
+@query(f"SELECT sigma, round(sum(s * (s - 1) / 2) / (SELECT count(*) * (count(*) - 1) / 2 FROM embeddings), 9) AS frac FROM (SELECT sigma, component, count(*) AS s FROM ({_sigma_sql()}) GROUP BY 1, 2) GROUP BY sigma")
+def sigma_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "embeddings").count()
+    return reports.grid_connectivity(sigma_star_profile(spark, sf_dir), n).withColumn("frac", F.round("frac", 9))
+
+
+@query()
+def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.spanning_forest(edges_at(spark, sf_dir, 0.35)).withColumn("w", F.round("w", 6))
 
 
 @query(f"""WITH {edges_sql(0.30)}, l AS (SELECT vec_id AS n, label FROM embeddings), s AS (
@@ -354,10 +363,11 @@ def retracted_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.retracted(e.withColumn("effect", ledger.verdict_effect(F.col("verdict"))))
 
 
-@query("SELECT event_id AS id, event_id AS generation FROM events WHERE event_id <= 500 AND (event_id % 3 <> 0 OR event_id * 2 > 500)")
+@query("SELECT event_id AS id, event_id AS generation FROM events, (SELECT max(event_id) // 2 AS g FROM events) WHERE event_id <= g AND (event_id % 3 <> 0 OR event_id * 2 > g)")
 def staging_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("generation"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") * 2).alias("tombstoned_at_gen"))
-    return views.visible_at(e, 500).select("id", "generation")
+    middle = e.agg((F.max("generation") / 2).cast("long")).first()[0]
+    return views.visible_at(e, middle).select("id", "generation")
 
 
 @query("SELECT count(*) FILTER (WHERE provenance = 'authored-solo') AS solo, count(*) AS n FROM (SELECT ['authored-solo','authored-dialogue','curated','interpreted','observed'][label % 5 + 1] AS provenance FROM embeddings) WHERE provenance IN ('authored-solo', 'authored-dialogue')")
@@ -449,7 +459,8 @@ def novel_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.novel(e).select(F.col("seq").alias("event_id"), "claim_id", "novel")
 
 
-@query()
+@query("""WITH RECURSIVE m(hs) AS (SELECT list_sort(list(DISTINCT sha256(text))) FROM documents WHERE text IS NOT NULL UNION ALL
+SELECT list_transform(range(1, len(hs) + 1, 2), lambda i: sha256(hs[i] || coalesce(hs[i + 1], hs[i]))) FROM m WHERE len(hs) > 1) SELECT hs[1] AS root FROM m WHERE len(hs) = 1""")
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.corpus_digest(table(spark, sf_dir, "documents").select(ids.digest(F.col("text")).alias("digest")))
 
@@ -462,7 +473,7 @@ def chunk_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') THEN 'aws-access-key-id' WHEN regexp_matches(text, '(?i)aws_secret_access_key\\s*[=:]\\s*[''"]?[A-Za-z0-9/+]{20,}') THEN 'aws-secret-access-key'
 WHEN regexp_matches(text, '-----BEGIN (?:[A-Z0-9]+ )?PRIVATE KEY-----') THEN 'pem-private-key' WHEN regexp_matches(text, '\\bsk-(?:ant-)?[A-Za-z0-9_-]{20,}\\b') THEN 'sk-api-key'
-WHEN regexp_matches(text, '(?i)(?:api[_-]?key|secret|token|password|passwd|pwd)\\s*[=:]\\s*[''"]?[A-Za-z0-9/+_-]{32,}') THEN 'named-secret' END AS secret FROM conversations""".replace("\\\\", "\\"))
+WHEN regexp_matches(text, '(?i)(?:api[_-]?key|secret|token|password|passwd|pwd)\\s*[=:]\\s*[''"]?[A-Za-z0-9/+_-]{32,}') THEN 'keyword-bound-secret' END AS secret FROM conversations""".replace("\\\\", "\\"))
 def secret_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_secret(F.col("text")).alias("secret"))
 
@@ -495,12 +506,17 @@ def utterance_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "role", "turn", (F.row_number().over(w) - 1).cast("long").alias("ord"), running.alias("exchange"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 1 THEN 'long' END AS kind FROM documents WHERE false")
+@query("""WITH c AS (SELECT doc_id, 'doc ' || unnest([doc_id % 1000, doc_id * 3, doc_id + 100000]) AS title FROM documents), k AS (SELECT 'doc ' || CASE WHEN doc_id % 50 = 0 THEN 0 ELSE doc_id END AS title, count(*) AS n FROM documents GROUP BY 1)
+SELECT DISTINCT c.doc_id AS id, c.title, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'dangling' END AS outcome FROM c LEFT JOIN k USING (title)""")
 def unresolved_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of documents to titles that no document has (the data has none)."""
+    """Links planted in the documents' texts, read back out of them: to one
+    document, to none, and to a title that several have."""
     d = table(spark, sf_dir, "documents")
-    cited = d.select("doc_id", F.explode(text.links(F.col("text"))).alias("kind"))
-    return cited.join(d.select(F.col("source").alias("kind")).distinct(), "kind", "left_anti").select("doc_id", "kind")
+    link = lambda n: F.concat(F.lit(" [[doc "), n.cast("string"), F.lit("]] "))
+    written = F.concat(link(F.col("doc_id") % 1000), F.substring(F.coalesce("text", F.lit("")), 1, 40), link(F.col("doc_id") * 3), link(F.col("doc_id") + 100000))
+    outputs = d.select(F.col("doc_id").alias("id"), written.alias("text"))
+    sources = d.select(F.concat(F.lit("doc "), F.when(F.col("doc_id") % 50 == 0, 0).otherwise(F.col("doc_id")).cast("string")).alias("title"), F.col("doc_id").cast("string").alias("digest"))
+    return reconcile.cited_titles(outputs, sources, text.links(F.col("text"))).select("id", "title", "outcome")
 
 
 # -- evaluation -----------------------------------------------------------------------
@@ -553,19 +569,17 @@ def plateau_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.plateau(e, ["g"], 12.0, 5.0)
 
 
-@query("""SELECT event_type, user_id, turn FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY s DESC, user_id)::INTEGER AS turn FROM (SELECT event_type, user_id, round(sum(value), 6) AS s FROM events GROUP BY 1, 2)) WHERE turn <= 10""")
+@query("""SELECT event_type, user_id, turn FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY s DESC, user_id)::INTEGER AS turn FROM (SELECT event_type, user_id, round(sum(value), 6) AS s FROM events GROUP BY 1, 2))""")
 def review_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 6).alias("s"))
-    return metrics.round_robin(e, "event_type", [F.desc("s"), F.col("user_id")]).where("turn <= 10").select("event_type", "user_id", "turn")
+    return metrics.round_robin(e, "event_type", [F.desc("s"), F.col("user_id")]).select("event_type", "user_id", "turn")
 
 
-@query(f"""WITH p AS (SELECT list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS s, x.label = y.label AS w FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE x.vec_id % 20 = 0), b AS (SELECT least(19, greatest(0, floor((s + 1) / 2 * 20))) AS bin, count(*) FILTER (WHERE w) AS x, count(*) FILTER (WHERE NOT w) AS y FROM p GROUP BY 1), t AS (SELECT sum(x) AS nx, sum(y) AS ny FROM b)
+@query(f"""WITH p AS (SELECT list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS s, x.label = y.label AS w FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id), b AS (SELECT least(19, greatest(0, floor((s + 1) / 2 * 20))) AS bin, count(*) FILTER (WHERE w) AS x, count(*) FILTER (WHERE NOT w) AS y FROM p GROUP BY 1), t AS (SELECT sum(x) AS nx, sum(y) AS ny FROM b)
 SELECT round(sum(least(x / nx, y / ny)), 6) AS overlap, (SELECT round(median(s), 6) FROM p WHERE w) AS median_within, (SELECT round(median(s), 6) FROM p WHERE NOT w) AS median_cross FROM b, t""")
 def cosine_histogram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit(vectors.doubles(F.col("embedding"))).alias("x"))
-    q = F.broadcast(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("x").alias("qx")))
-    rows = e.join(q, F.col("vec_id") > F.col("q")).select(vectors.dot(F.col("x"), F.col("qx")).alias("s"), (F.col("label") == F.col("ql")).alias("w"))
-    return metrics.histogram_overlap(rows, "s", "w").select(*[F.round(c, 6).alias(c) for c in ("overlap", "median_within", "median_cross")])
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return pairs.cosine_overlap(e, "label").select(*[F.round(c, 6).alias(c) for c in ("overlap", "median_within", "median_cross")])
 
 
 # -- time series and queue -------------------------------------------------------------
@@ -685,10 +699,10 @@ def derivation_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.leaves(_arcs(spark, sf_dir))
 
 
-@query("SELECT DISTINCT a.d AS source, b.d AS target FROM (SELECT user_id, version_seq AS i, digest AS d FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_seq, event_type || '-' || event_id AS digest FROM events) WHERE user_id < 5) a JOIN (SELECT user_id, version_seq AS i, digest AS d FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_seq, event_type || '-' || event_id AS digest FROM events) WHERE user_id < 5) b ON a.user_id = b.user_id AND a.i < b.i")
+@query("SELECT DISTINCT a.d AS source, b.d AS target FROM (SELECT user_id, version_seq AS i, digest AS d FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_seq, event_type || '-' || event_id AS digest FROM events)) a JOIN (SELECT user_id, version_seq AS i, digest AS d FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_seq, event_type || '-' || event_id AS digest FROM events)) b ON a.user_id = b.user_id AND a.i < b.i")
 def version_poset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of the chains of five stated documents."""
-    return causal.poset_from_chains(versions(spark, sf_dir).where("cast(doc_id AS int) < 5"))
+    """The order of all chains, as comparable pairs."""
+    return causal.poset_from_chains(versions(spark, sf_dir))
 
 
 # -- claims ------------------------------------------------------------------------------
