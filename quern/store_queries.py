@@ -10,6 +10,7 @@ from .functions import ids, scoring, text
 from .operators import causal, graph, ledger, merge, metrics, reconcile, reports, views
 from .queries import JOBS, QUERIES, SQL, VERSIONS, _jobs, chunks, query, table, versions
 from .scratch import write_table
+from .sources import code, notes
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -659,3 +660,34 @@ def moved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("u"), (F.col("n_regionkey") + 1000).cast("long").alias("v"))
     images = n.where("u % 4 <> 0").select(F.col("u").alias("node"), ((F.col("u") + 1) % 25).alias("image")).unionAll(n.select(F.col("v").alias("node"), F.col("v").alias("image")).distinct())
     return causal.push_edges(n, images).select(F.col("u").alias("x"), (F.col("v") - 1000).alias("r"))
+
+
+# -- sources ------------------------------------------------------------------------------
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small Python file for each document: it imports from another one,
+    inherits, calls, cites and comments by its number."""
+    n = F.col("doc_id").cast("string")
+    lines = [
+        F.concat(F.lit("from m"), (F.col("doc_id") * 7 % 1500).cast("string"), F.lit(" import f as g")),
+        F.lit("from .nowhere import h"), F.lit("class A(B):"), F.concat(F.lit("    \"\"\"See docs/notes/n"), (F.col("doc_id") % 9).cast("string"), F.lit(".md and `a/b.py`.\"\"\"")),
+        F.lit("    def run(self):"), F.concat(F.lit("        g(h(run()))  # note "), n), F.lit("class B: pass"), F.lit("def f(): f()"), F.concat(F.lit("# end "), n), F.lit(""),
+    ]
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), n, F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).cast("binary").alias("data"))
+
+
+@query("""SELECT 'm' || doc_id || '.py' AS path, 'A' AS qualname, 'inherits' AS kind, 'm' || doc_id || '.py' AS target_path, 'B' AS target FROM documents
+UNION ALL SELECT 'm' || d.doc_id || '.py', 'A.run', 'calls', 'm' || t.doc_id || '.py', 'f' FROM documents d JOIN documents t ON t.doc_id = d.doc_id * 7 % 1500""")
+def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.code_edges(_sources(spark, sf_dir)).drop("line")
+
+
+@query("""SELECT 'm' || doc_id || '.py' AS path, 'A.run' AS qualname, 6 AS line, '# note ' || doc_id AS name FROM documents UNION ALL SELECT 'm' || doc_id || '.py', '', 9, '# end ' || doc_id FROM documents""")
+def code_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.python_facts(_sources(spark, sf_dir)).where("fact = 'comment'").select("path", "qualname", "line", "name")
+
+
+@query("""SELECT 'm' || doc_id || '.py' AS path, 'note-citation' AS ref_type, 'docs/notes/n' || doc_id % 9 || '.md' AS target FROM documents WHERE doc_id % 9 < 5 UNION ALL SELECT 'm' || doc_id || '.py', 'path-mention', 'a/b.py' FROM documents""")
+def docstring_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([(f"docs/notes/n{i}.md",) for i in range(5)], "ref string")
+    return code.docstring_references(notes.python_symbols(_sources(spark, sf_dir)).where("kind = 'class' AND qualname = 'A'"), known).select("path", "ref_type", "target")
