@@ -272,6 +272,39 @@ def loops(arcs: DataFrame, max_len: int = 12) -> DataFrame:
     return out
 
 
+def simple_paths(arcs: DataFrame, max_len: int) -> DataFrame:
+    """(source, sink, nodes, witness): directed paths of at most max_len arcs
+    that pass no node twice, grown by joins. Their number can rise steeply
+    with max_len: for sparse relations such as revisions."""
+    a = write_table(arcs.where("source <> target").groupBy("source", "target").agg(F.min("witness").alias("witness")), "arcs")
+    paths = a.select("source", F.col("target").alias("sink"), F.array("source", "target").alias("nodes"), F.array("witness").alias("witness"))
+    out = paths
+    for _ in range(2, max_len + 1):
+        step = a.select(F.col("source").alias("sink"), F.col("target").alias("__t"), F.col("witness").alias("__w"))
+        paths = paths.join(step, "sink").where(~F.array_contains("nodes", F.col("__t")))
+        paths = paths.select("source", F.col("__t").alias("sink"), F.array_append("nodes", F.col("__t")).alias("nodes"), F.array_append("witness", F.col("__w")).alias("witness"))
+        paths = write_table(paths, "paths")
+        if paths.isEmpty():
+            break
+        out = out.unionAll(paths)
+    return out
+
+
+def revision_asymmetries(arcs: DataFrame, max_len: int = 12) -> DataFrame:
+    """(source, sink, short_path, long_path, witness, gap): two ways from one
+    node to another of different length that share no node between; of each
+    source and sink the pair of the largest gap, ties to the first in order of
+    length and nodes."""
+    p = write_table(simple_paths(arcs, max_len), "paths")
+    side = lambda n: p.select("source", "sink", F.struct(F.size("nodes").alias("len"), "nodes", "witness").alias(n))
+    inner = lambda c: F.slice(f"{c}.nodes", F.lit(2), F.greatest(F.lit(0), F.col(f"{c}.len") - 2))
+    pair = side("a").join(side("b"), ["source", "sink"]).where(F.col("a.len") < F.col("b.len")).where(~F.arrays_overlap(inner("a"), inner("b")))
+    best = pair.groupBy("source", "sink").agg(F.min(F.struct((F.col("a.len") - F.col("b.len")).alias("gap"), "a", "b")).alias("m"))
+    return best.select(
+        "source", "sink", F.col("m.a.nodes").alias("short_path"), F.col("m.b.nodes").alias("long_path"), F.concat("m.a.witness", "m.b.witness").alias("witness"), (-F.col("m.gap")).alias("gap")
+    )
+
+
 def reach_backs(arcs: DataFrame, authorship: DataFrame) -> DataFrame:
     """Citations whose cited work ranks after the citing one: (citing, cited,
     witness, evidence); an arc without both records is none."""

@@ -662,6 +662,14 @@ def moved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.push_edges(n, images).select(F.col("u").alias("x"), (F.col("v") - 1000).alias("r"))
 
 
+@query("""WITH RECURSIVE a AS (SELECT DISTINCT o_custkey % 14 AS s, o_orderkey % 14 AS t FROM orders WHERE o_custkey % 14 < o_orderkey % 14 AND (o_custkey % 14 * 5 + o_orderkey % 14 * 3) % 4 = 0),
+p AS (SELECT s, t, [s, t] AS nodes FROM a UNION ALL SELECT p.s, a.t, list_append(nodes, a.t) FROM p JOIN a ON a.s = p.t WHERE len(nodes) <= 4 AND NOT list_contains(nodes, a.t))
+SELECT x.s AS source, x.t AS sink, max(len(y.nodes) - len(x.nodes))::INTEGER AS gap FROM p x JOIN p y ON x.s = y.s AND x.t = y.t AND len(x.nodes) < len(y.nodes) AND len(list_intersect(x.nodes[2:-2], y.nodes[2:-2])) = 0 GROUP BY 1, 2""")
+def revision_asymmetries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 14).alias("source"), (F.col("o_orderkey") % 14).alias("target")).where("source < target AND (source * 5 + target * 3) % 4 = 0").distinct()
+    return graph.revision_asymmetries(o.withColumn("witness", F.concat_ws(">", F.col("source").cast("string"), F.col("target").cast("string"))), 4).select("source", "sink", "gap")
+
+
 # -- sources ------------------------------------------------------------------------------
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
