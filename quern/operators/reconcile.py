@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import digest
+from ..scratch import partitions, write_table
 from .merge import missing_from
 
 
@@ -167,23 +168,22 @@ def generation_bracket(ticks: DataFrame, walls: DataFrame) -> DataFrame:
     """walls (wall) with lo, hi, widened, future: the last generation at or
     before each wall time and the first after it. Clocks may run back: an
     inverted or wide bracket is widened to both and flagged."""
-    # an as-of join: ticks and walls in one order, states carried along
-    t = ticks.select(F.col("at").alias("x"), F.col("generation").alias("g"), F.lit(None).cast("boolean").alias("q"))
-    w = walls.select(F.col("wall").alias("x"), F.lit(None).cast("int").alias("g"), F.lit(True).alias("q"))
-    rows = t.unionAll(w).withColumn("__hour", F.date_trunc("day", "x"))
-    before = Window.partitionBy("__hour").orderBy("x", F.col("q").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("__hour").orderBy("x", F.col("q").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    days = ticks.groupBy(F.date_trunc("day", "at").alias("day")).agg(F.max("generation").alias("hi"), F.min("generation").alias("lo"))
-    # carried over whole days: one row per day
-    dw = Window.orderBy("day")
-    walls_days = rows.select("__hour").distinct().join(days, F.col("__hour") == F.col("day"), "left").select(F.col("__hour").alias("day"), "hi", "lo")
-    carried = walls_days.select(
-        F.col("day"),
-        F.max("hi").over(dw.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.min("lo").over(dw.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    # an as-of join: ticks and walls in one order, dealt by ranges of it; states
+    # are carried along within a range, and over ranges by one row for each
+    t = ticks.select(F.col("at").alias("x"), F.lit(0).alias("q"), F.col("generation").alias("g"))
+    w = walls.select(F.col("wall").alias("x"), F.lit(1).alias("q"), F.lit(None).cast("int").alias("g"))
+    rows = t.unionAll(w)
+    rows = write_table(rows.repartitionByRange(partitions(rows.sparkSession), "x", "q").withColumn("__r", F.spark_partition_id()), "walls")
+    own = Window.partitionBy("__r").orderBy("x", "q")
+    before, after = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(1, Window.unboundedFollowing)
+    ranges = rows.groupBy(F.col("__r").alias("__range")).agg(F.max("g").alias("top"), F.min("g").alias("low"))
+    over = Window.orderBy("__range")  # as many rows as ranges
+    carried = ranges.select(
+        "__range", F.max("top").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.min("low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
     )
-    out = rows.withColumns({"lo": F.max("g").over(before), "hi": F.min("g").over(after)}).where("q").select("x", "lo", "hi", "__hour")
-    out = out.join(carried, F.col("__hour") == F.col("day"), "left")
+    out = rows.withColumns({"lo": F.max("g").over(before), "hi": F.min("g").over(after)}).where("q = 1")
+    out = out.join(F.broadcast(carried), F.col("__r") == F.col("__range"))
     lo, hi = F.greatest("lo", "__before"), F.least("hi", "__after")
     out = out.select(F.col("x").alias("wall"), lo.alias("lo"), hi.alias("hi"))
     odd = (F.col("lo") > F.col("hi")) | (F.col("hi") - F.col("lo") > 1)
@@ -195,8 +195,6 @@ def generation_bracket(ticks: DataFrame, walls: DataFrame) -> DataFrame:
 
 def stale_after(derived_from: DataFrame, start: DataFrame) -> DataFrame:
     """(id): everything derived, at any remove, from the start ids."""
-    from ..scratch import write_table
-
     e = write_table(derived_from.select("id", "parent").distinct(), "derived")
     seen = start.select("id").distinct()
     frontier = seen

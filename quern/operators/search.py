@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.ranks import global_rank
 from ..functions.vectors import cosine, doubles, literal
 
 
@@ -42,7 +43,7 @@ def best_per_path(hits: DataFrame, path: str = "source_path", layers: tuple[str,
     if layers is not None:
         hits = hits.where(F.col("layer").isin(*layers))
     best = hits.groupBy(path).agg(F.min("distance").alias("distance"))
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", path)))  # over one query's hits
+    return global_rank(best, ["distance", path], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def rank_papers(papers: DataFrame, centroid: list[float], vec: str = "vector") -> DataFrame:
