@@ -80,8 +80,11 @@ def odd_dir(tmp_path_factory, spark):
     return root
 
 
-@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
-@pytest.mark.parametrize("which", ["awkward", "empty", "all null", "no labels"])
+@pytest.mark.parametrize(
+    ("name", "which"),
+    [(n, w) for n, _ in corpus_pipeline.STAGES for w in ("awkward", "empty")]
+    + [("quality classifier", "no labels"), ("near-dedup", "all null"), ("mixing", "all null"), ("line dedup", "all null")],
+)
 def test_stages_stand_awkward_tables(spark, odd_dir, name, which):
     """Nulls in every column, empty and very long texts, ties, repeated rows,
     columns with clashing names, empty tables."""
