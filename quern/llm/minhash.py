@@ -238,7 +238,9 @@ def near_classes(
     if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to them
         ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = texts.join(ids, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    chosen = texts.join(ids, F.col("id") == F.col("rep"), "left_semi")
+    if by_row:  # classes of rows without an id have no other name
+        chosen = chosen.unionAll(texts.where("id IS NULL"))
     sets = shingle_sets(chosen, width).join(wanted.drop("rep").withColumnRenamed("set_key", "own"), F.col("set_key") == F.col("own")).select("node", "set")
     repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("set_key").alias("lo"), F.max("set_key").alias("hi"))
     repeated = write_table(repeated.where("rows > 1").select("doc_id", (F.col("lo") < F.col("hi")).alias("several")), "repeated")
