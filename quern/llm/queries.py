@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, hilbert, langid, lines, minhash, mixing, packing, pivots, sketches, warc
+from . import crf, hilbert, langid, lines, merkle, minhash, mixing, packing, pivots, sketches, warc
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf_quality": _quality,
     "op9_vector_pack": _over("documents", packing.pack_digest),
     "op10_line_dedup": _over("documents", lines.line_dedup_digest),
+    "op11_merkle_manifest": _over("documents", merkle.manifest_digest),
 }
 
 SQL: dict[str, str] = {
@@ -36,4 +37,5 @@ SQL: dict[str, str] = {
     "op5_minmax_dedup": minhash.NEAR_SQL,
     "op6_weighted_fair_mix": mixing.MIX_SQL,
     "op10_line_dedup": lines.LINE_DEDUP_SQL,
+    "op11_merkle_manifest": merkle.MANIFEST_SQL,
 }
