@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, crf, hilbert, langid, lines, merkle, minhash, mixing, packing, pivots, sketches, warc
+from . import align, crf, hilbert, langid, lines, merkle, minhash, mixing, packing, pivots, sketches, tokenfile, warc
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_pack": _over("documents", packing.pack_digest),
     "op10_line_dedup": _over("documents", lines.line_dedup_digest),
     "op11_merkle_manifest": _over("documents", merkle.manifest_digest),
+    "op12_context_coded_ids": _over("documents", tokenfile.token_digest),
     "op13_token_alignment": _over("documents", align.alignment_digest),
 }
 
