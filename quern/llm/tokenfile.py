@@ -37,7 +37,9 @@ MOST_ID = 1 << 30
 _HEADER = struct.Struct("<4sIIIIQQIBI")
 _MAGIC = b"QTB1"
 _FULL, _LOW = np.uint64(2**64 - 1), np.uint64(1 << 48)
-_AFTER_HIT, _AFTER_MISS = np.array([1, 2, 3, 3], np.uint32), np.array([1, 1, 1, 2], np.uint32)
+#: Confidence after a miss, then after a hit.
+_AFTER = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.uint32)
+_SLOTS = (1 << SLOTS_1) + (1 << SLOTS_2)
 _CLASSES = 17
 
 
@@ -57,8 +59,9 @@ class Mixer:
         self.most = most
         self.lane = np.arange(lanes)
         self.q = np.tile(np.array([0.1, 0.1, 0.5, 0.3]), (lanes * 16, 1))
-        self.w = [np.full(lanes, 1 / 3) for _ in range(3)]
-        self.t1, self.t2 = np.zeros(lanes << SLOTS_1, np.uint32), np.zeros(lanes << SLOTS_2, np.uint32)
+        self.w = np.full((3, lanes), 1 / 3)
+        # a lane's slots of order 1, then those of order 2
+        self.slots = np.zeros(lanes * _SLOTS, np.uint32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.outcome = np.full(lanes, 3)
         self.order = np.zeros(lanes * most, np.uint32)
@@ -68,22 +71,27 @@ class Mixer:
     def predict(self, k: int) -> np.ndarray:
         """Where each outcome of the first k lanes begins on the scale, (k, 5)."""
         lane, last = self.lane[:k], self.last[:k]
-        self.s1 = (lane << SLOTS_1) + ((last * 0x9E3779B1 >> 13) & ((1 << SLOTS_1) - 1))
-        self.s2 = (lane << SLOTS_2) + (((last * 0x85EBCA6B ^ self.before[:k] * 0xC2B2AE35) >> 12) & ((1 << SLOTS_2) - 1))
-        e1, e2 = self.t1[self.s1], self.t2[self.s2]
-        self.c1, self.c2, self.i1, self.i2 = e1 & 3, e2 & 3, e1 >> 2, e2 >> 2
-        base = lane << 4
-        same = (self.i1 == self.i2) << 2
-        self.rows = base + self.c2, base + 4 + self.c1 + same, base + 12 + self.outcome[:k]
-        self.own = [self.q.take(r, 0) for r in self.rows]
-        p = self.own[0] * self.w[0][:k, None]
-        p += self.own[1] * self.w[1][:k, None]
-        p += self.own[2] * self.w[2][:k, None]
+        self.at = np.empty((2, k), np.int64)
+        np.bitwise_and(last * 0x9E3779B1 >> 13, (1 << SLOTS_1) - 1, out=self.at[0])
+        np.bitwise_and((last * 0x85EBCA6B ^ self.before[:k] * 0xC2B2AE35) >> 12, (1 << SLOTS_2) - 1, out=self.at[1])
+        self.at[1] += 1 << SLOTS_1
+        self.at += lane * _SLOTS
+        held = self.slots.take(self.at)
+        self.sure, self.named = held & 3, held >> 2
+        self.rows = np.empty((3, k), np.int64)
+        self.rows[0] = self.sure[1]
+        np.add(self.sure[0], (self.named[0] == self.named[1]) << 2, out=self.rows[1])
+        self.rows[1] += 4
+        np.add(self.outcome[:k], 12, out=self.rows[2])
+        self.rows += lane << 4
+        self.own = self.q.take(self.rows, 0)
+        p = self.own * self.w[:, :k, None]
+        p = p[0] + p[1] + p[2]
         p *= (1 << SCALE_BITS) - 4 * LEAST
-        cum = np.zeros((k, 5), np.int64)
         begin = p.astype(np.int64)
         begin += LEAST
-        np.add(begin[:, 0], 0, out=cum[:, 1])
+        cum = np.zeros((k, 5), np.int64)
+        cum[:, 1] = begin[:, 0]
         np.add(cum[:, 1], begin[:, 1], out=cum[:, 2])
         np.add(cum[:, 2], begin[:, 2], out=cum[:, 3])
         cum[:, 4] = 1 << SCALE_BITS
@@ -91,24 +99,21 @@ class Mixer:
 
     def update(self, k: int, outcome: np.ndarray, ids: np.ndarray) -> None:
         at = (self.lane[:k] << 2) + outcome
-        good = [q.take(at) for q in self.own]
-        total = None
-        for w, g in zip(self.w, good, strict=True):
-            w[:k] *= g
-            total = w[:k].copy() if total is None else total + w[:k]
-        for w in self.w:
-            w[:k] /= total
-            w[:k] *= 1 - 3 * LEAST_WEIGHT
-            w[:k] += LEAST_WEIGHT
-        for rows, q, g in zip(self.rows, self.own, good, strict=True):
-            q *= 1 - RATE
-            q.reshape(-1)[at] = g * (1 - RATE) + RATE
-            self.q[rows] = q
+        own = self.own.reshape(3, -1)
+        good = own.take(at, 1)
+        w = self.w[:, :k]
+        w *= good
+        w *= (1 - 3 * LEAST_WEIGHT) / (w[0] + w[1] + w[2])
+        w += LEAST_WEIGHT
+        own *= 1 - RATE
+        good *= 1 - RATE
+        good += RATE
+        own[:, at] = good
+        self.q[self.rows] = self.own
         new = ids.astype(np.uint32)
-        for table, slots, c, i in ((self.t1, self.s1, self.c1, self.i1), (self.t2, self.s2, self.c2, self.i2)):
-            hit = (i == new) & (c > 0)
-            kept = np.where(hit | (c > 1), i, new)
-            table[slots] = kept << 2 | np.where(hit, _AFTER_HIT[c], _AFTER_MISS[c])
+        hit = (self.named == new) & (self.sure > 0)
+        kept = np.where(hit | (self.sure > 1), self.named, new)
+        self.slots[self.at] = kept << 2 | _AFTER[self.sure + (hit << 2)]
         self.before[:k], self.last[:k], self.outcome[:k] = self.last[:k], ids, outcome
 
     def advance(self, lanes: np.ndarray, ranks: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -153,8 +158,8 @@ def code(blocks: list[np.ndarray], bound: int) -> list[bytes]:
         own = ids[step, :k]
         cum = model.predict(k)
         as_slot = own.astype(np.uint32)
-        outcome = np.where((as_slot == model.i1) & (model.c1 > 0), 1, 3)
-        outcome[(as_slot == model.i2) & (model.c2 > 0)] = 0
+        named = (model.named == as_slot) & (model.sure > 0)
+        outcome = np.where(named[1], 0, np.where(named[0], 1, 3))
         rest = np.flatnonzero(outcome == 3)
         hashed = (rest << SLOTS_0) + ((own[rest] * 0x9E3779B1 >> 15) & ((1 << SLOTS_0) - 1))
         rank = place[hashed].astype(np.int64)
@@ -249,7 +254,7 @@ def decode(payloads: list[bytes], lengths: list[int], bound: int) -> list[np.nda
         less = r * begin.astype(np.uint64)
         now = r * (flat[at + 1] - begin).astype(np.uint64)
         rest = d[:k] - less
-        own = np.where(outcome == 0, model.i2, model.i1).astype(np.int64)
+        own = np.where(outcome == 0, model.named[1], model.named[0]).astype(np.int64)
         old = np.flatnonzero(outcome == 2)
         if len(old):
             table = model.classes[old]
