@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
+from . import order
 from .components import SMALL, connected_components
 
 
@@ -336,23 +337,10 @@ def severed(a: DataFrame, b: DataFrame) -> DataFrame:
     return gone.join(nodes, F.col("v") == F.col("n"), "left_semi")
 
 
-def longest_chain(arcs: DataFrame, most: int = 10_000) -> DataFrame:
+def longest_chain(arcs: DataFrame) -> DataFrame:
     """(node, level) of an acyclic relation (source, target): the number of
-    nodes on the longest chain that ends there. Levels are peeled: a node's
-    is settled once all its predecessors' are; what is left is a cycle."""
-    a = write_table(arcs.select("source", "target").where("source <> target").distinct(), "order")
-    left = write_table(a.select(F.explode(F.array("source", "target")).alias("node")).distinct(), "nodes")
-    done = None
-    level = 1
-    while not left.isEmpty():
-        blocked = a.join(left.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
-        free = write_table(left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)), "level")
-        if free.isEmpty() or level > most:
-            raise ValueError("the relation has a cycle")
-        done = free if done is None else done.unionAll(free)
-        left = write_table(left.join(free, "node", "left_anti"), "nodes")
-        level += 1
-    return done if done is not None else left.withColumn("level", F.lit(0))
+    nodes on the longest chain that ends there; see `order.levels`."""
+    return order.levels(arcs)
 
 
 def closure(arcs: DataFrame, most: int = 64) -> DataFrame:
