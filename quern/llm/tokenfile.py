@@ -22,13 +22,13 @@ from ..scratch import partitions, write_table
 from .packing import encoder, in_chunks
 
 #: Ids of a block, and blocks that a task codes side by side (about 100 kB each).
-BLOCK_IDS, LANES = 4096, 2048
+BLOCK_IDS, LANES = 4096, 3072
 #: Bits of the slots that find an id in the list, and of the order-1 and order-2 tables.
 SLOTS_0, SLOTS_1, SLOTS_2 = 13, 11, 12
 #: Parts of the probability scale; what every outcome has of it at least.
 SCALE_BITS, LEAST = 12, 6
-#: How fast probabilities follow, and the least weight of a predictor.
-RATE, LEAST_WEIGHT = 0.06, 0.02
+#: How fast probabilities follow, what they stay above, and the least weight of a predictor.
+RATE, FLOOR, LEAST_WEIGHT = 0.06, 0.002, 0.02
 #: What a coded class of ranks gains; a block's gains stay below 2 ** 16.
 GAIN = 8
 #: Ids are below this: a slot holds an id and two bits of confidence.
@@ -40,7 +40,8 @@ _FULL, _LOW = np.uint64(2**64 - 1), np.uint64(1 << 48)
 #: Confidence after a miss, then after a hit.
 _AFTER = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.uint32)
 _SLOTS = (1 << SLOTS_1) + (1 << SLOTS_2)
-_CLASSES = 17
+#: Classes of ranks, by their bits, and steps between two sums of their counts.
+_CLASSES, _REST = 16, 16
 
 
 class Mixer:
@@ -52,24 +53,31 @@ class Mixer:
     what order 2 names (outcome 0), else what order 1 names (1), else in the
     list (2), else new (3). Each predictor has its own probabilities of the
     four outcomes in its state, learned as it goes, and they are mixed by
-    weights that follow how well each did. Only +, -, * and / are used on
-    doubles, and in one order, so that all machines agree."""
+    weights that follow how well each did. Only +, - and * and one division
+    are used on single floats, in one order, so that all machines agree.
+
+    Four probabilities are 16 bytes and are moved as one number."""
 
     def __init__(self, lanes: int, most: int):
         self.most = most
         self.lane = np.arange(lanes)
-        self.q = np.tile(np.array([0.1, 0.1, 0.5, 0.3]), (lanes * 16, 1))
-        self.w = np.full((3, lanes), 1 / 3)
+        self.q = np.tile(np.array([0.1, 0.1, 0.5, 0.3], np.float32), (lanes * 16, 1)).view(np.complex128)[:, 0]
+        self.w = np.full((3, lanes), 1 / 3, np.float32)
         # a lane's slots of order 1, then those of order 2
         self.slots = np.zeros(lanes * _SLOTS, np.uint32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.outcome = np.full(lanes, 3)
         self.order = np.zeros(lanes * most, np.uint32)
         self.size = np.zeros(lanes, np.int64)
-        self.classes = np.tile(np.arange(_CLASSES + 1, dtype=np.int32), (lanes, 1))  # running counts, one each at first
+        self.counts = np.ones((lanes, _CLASSES), np.int64)
+        self.classes = np.zeros((lanes, _CLASSES + 1), np.int64)  # running sums, renewed now and then
+        self.step = 0
 
     def predict(self, k: int) -> np.ndarray:
-        """Where each outcome of the first k lanes begins on the scale, (k, 5)."""
+        """Where each outcome of the first k lanes begins on the scale, (5, k)."""
+        if self.step % _REST == 0:
+            np.cumsum(self.counts[:k], 1, out=self.classes[:k, 1:])
+        self.step += 1
         lane, last = self.lane[:k], self.last[:k]
         self.at = np.empty((2, k), np.int64)
         np.bitwise_and(last * 0x9E3779B1 >> 13, (1 << SLOTS_1) - 1, out=self.at[0])
@@ -84,44 +92,44 @@ class Mixer:
         self.rows[1] += 4
         np.add(self.outcome[:k], 12, out=self.rows[2])
         self.rows += lane << 4
-        self.own = self.q.take(self.rows, 0)
-        p = self.own * self.w[:, :k, None]
-        p = p[0] + p[1] + p[2]
-        p *= (1 << SCALE_BITS) - 4 * LEAST
-        begin = p.astype(np.int64)
-        begin += LEAST
-        cum = np.zeros((k, 5), np.int64)
-        cum[:, 1] = begin[:, 0]
-        np.add(cum[:, 1], begin[:, 1], out=cum[:, 2])
-        np.add(cum[:, 2], begin[:, 2], out=cum[:, 3])
-        cum[:, 4] = 1 << SCALE_BITS
+        self.own = self.q.take(self.rows).view(np.float32).reshape(3, k, 4)
+        w, cum = self.w[:, :k], np.zeros((5, k), np.int64)
+        for j in range(3):
+            part = self.own[:, :, j] * w
+            p = part[0] + part[1]
+            p += part[2]
+            p *= np.float32((1 << SCALE_BITS) - 4 * LEAST)
+            np.add(cum[j], p.astype(np.int64), out=cum[j + 1])
+            cum[j + 1] += LEAST
+        cum[4] = 1 << SCALE_BITS
         return cum
 
     def update(self, k: int, outcome: np.ndarray, ids: np.ndarray) -> None:
-        at = (self.lane[:k] << 2) + outcome
-        own = self.own.reshape(3, -1)
-        good = own.take(at, 1)
+        at = (self.lane[:k] << 2) + outcome + np.arange(3)[:, None] * (4 * k)
+        flat = self.own.reshape(-1)
+        good = flat.take(at)
         w = self.w[:, :k]
         w *= good
-        w *= (1 - 3 * LEAST_WEIGHT) / (w[0] + w[1] + w[2])
-        w += LEAST_WEIGHT
-        own *= 1 - RATE
-        good *= 1 - RATE
-        good += RATE
-        own[:, at] = good
-        self.q[self.rows] = self.own
+        w *= np.float32(1 - 3 * LEAST_WEIGHT) / (w[0] + w[1] + w[2])
+        w += np.float32(LEAST_WEIGHT)
+        flat *= np.float32(1 - RATE)
+        flat += np.float32(RATE * FLOOR)
+        good *= np.float32(1 - RATE)
+        good += np.float32(RATE * (1 - 3 * FLOOR))
+        flat[at] = good
+        self.q[self.rows] = self.own.view(np.complex128)[..., 0]
         new = ids.astype(np.uint32)
         hit = (self.named == new) & (self.sure > 0)
         kept = np.where(hit | (self.sure > 1), self.named, new)
-        self.slots[self.at] = kept << 2 | _AFTER[self.sure + (hit << 2)]
+        self.slots[self.at] = kept << 2 | _AFTER.take(self.sure + (hit << 2))
         self.before[:k], self.last[:k], self.outcome[:k] = self.last[:k], ids, outcome
 
     def advance(self, lanes: np.ndarray, ranks: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Ids at these ranks move halfway to the front; returns what stood there."""
-        self.classes[lanes] += (np.arange(_CLASSES + 1) > classes[:, None]) * np.int32(GAIN)
+        self.counts.reshape(-1)[lanes * _CLASSES + classes] += GAIN
         first = lanes * self.most
         here, there = first + ranks, first + (ranks >> 1)
-        other, own = self.order[there], self.order[here]
+        other, own = self.order.take(there), self.order.take(here)
         self.order[here], self.order[there] = other, own
         return other
 
@@ -146,7 +154,7 @@ def code(blocks: list[np.ndarray], bound: int) -> list[bytes]:
     order, alive = _by_length([len(b) for b in blocks])
     most = max(1, len(alive))
     model = Mixer(lanes, most)
-    ids = np.zeros((most, lanes), np.int64)
+    ids = np.zeros((most, lanes), np.uint32)
     for lane, at in enumerate(order):
         ids[: len(blocks[at]), lane] = blocks[at]
     place = np.zeros(lanes << SLOTS_0, np.uint16)  # of an id in the list, by a hash; one that is lost counts as new
@@ -155,22 +163,21 @@ def code(blocks: list[np.ndarray], bound: int) -> list[bytes]:
     out, end = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
     for step, k in enumerate(alive.tolist()):
-        own = ids[step, :k]
+        own = ids[step, :k].astype(np.int64)
         cum = model.predict(k)
-        as_slot = own.astype(np.uint32)
-        named = (model.named == as_slot) & (model.sure > 0)
+        named = (model.named == ids[step, :k]) & (model.sure > 0)
         outcome = np.where(named[1], 0, np.where(named[0], 1, 3))
         rest = np.flatnonzero(outcome == 3)
         hashed = (rest << SLOTS_0) + ((own[rest] * 0x9E3779B1 >> 15) & ((1 << SLOTS_0) - 1))
         rank = place[hashed].astype(np.int64)
         seen = (rank < model.size[rest]) & (model.order[rest * most + rank] == own[rest])
         outcome[rest[seen]] = 2
-        at = model.lane[:k] * 5 + outcome
+        at = outcome * k + model.lane[:k]
         flat = cum.reshape(-1)
-        begin = flat[at]
+        begin = flat.take(at)
         r = rng[:k] >> SCALE_BITS
         add = r * begin.astype(np.uint64)
-        now = r * (flat[at + 1] - begin).astype(np.uint64)
+        now = r * (flat.take(at + k) - begin).astype(np.uint64)
         old, rank = rest[seen], rank[seen]
         if len(old):
             v = rank + 1
@@ -245,26 +252,28 @@ def decode(payloads: list[bytes], lengths: list[int], bound: int) -> list[np.nda
         cum = model.predict(k)
         r = rng[:k] >> SCALE_BITS
         t = (d[:k] // r).astype(np.int64)
-        outcome = (t >= cum[:, 1]).astype(np.int64)
-        outcome += t >= cum[:, 2]
-        outcome += t >= cum[:, 3]
-        at = model.lane[:k] * 5 + outcome
+        outcome = (t >= cum[1]).astype(np.int64)
+        outcome += t >= cum[2]
+        outcome += t >= cum[3]
+        at = outcome * k + model.lane[:k]
         flat = cum.reshape(-1)
-        begin = flat[at]
+        begin = flat.take(at)
         less = r * begin.astype(np.uint64)
-        now = r * (flat[at + 1] - begin).astype(np.uint64)
+        now = r * (flat.take(at + k) - begin).astype(np.uint64)
         rest = d[:k] - less
         own = np.where(outcome == 0, model.named[1], model.named[0]).astype(np.int64)
         old = np.flatnonzero(outcome == 2)
         if len(old):
-            table = model.classes[old]
-            r = now[old] // table[:, _CLASSES].astype(np.uint64)
+            row = model.classes.reshape(-1)
+            first = old * (_CLASSES + 1)
+            r = now[old] // row.take(first + _CLASSES).astype(np.uint64)
             t = (rest[old] // r).astype(np.int64)
-            c = (table[:, 1:_CLASSES] <= t[:, None]).sum(1)
-            row = np.arange(len(old))
-            begin = table[row, c]
+            c = np.zeros(len(old), np.int64)
+            for half in (8, 4, 2, 1):
+                c += half * (row.take(first + c + half) <= t)
+            begin = row.take(first + c)
             rest[old] -= r * begin.astype(np.uint64)
-            r = r * (table[row, c + 1] - begin).astype(np.uint64) >> c.astype(np.uint64)
+            r = r * (row.take(first + c + 1) - begin).astype(np.uint64) >> c.astype(np.uint64)
             v = rest[old] // r
             rest[old] -= r * v
             now[old] = r
