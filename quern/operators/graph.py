@@ -296,7 +296,12 @@ def revision_asymmetries(arcs: DataFrame, max_len: int = 12) -> DataFrame:
     node to another of different length that share no node between; of each
     source and sink the pair of the largest gap, ties to the first in order of
     length and nodes."""
-    p = write_table(simple_paths(arcs, max_len), "paths")
+    return widest_asymmetries(simple_paths(arcs, max_len))
+
+
+def widest_asymmetries(paths: DataFrame) -> DataFrame:
+    """The pairs of `revision_asymmetries` among these paths."""
+    p = write_table(paths.select("source", "sink", "nodes", "witness"), "paths")
     side = lambda n: p.select("source", "sink", F.struct(F.size("nodes").alias("len"), "nodes", "witness").alias(n))
     inner = lambda c: F.slice(f"{c}.nodes", F.lit(2), F.greatest(F.lit(0), F.col(f"{c}.len") - 2))
     pair = side("a").join(side("b"), ["source", "sink"]).where(F.col("a.len") < F.col("b.len")).where(~F.arrays_overlap(inner("a"), inner("b")))

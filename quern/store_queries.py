@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, scoring, text
-from .operators import causal, graph, ledger, merge, metrics, reconcile, reports, views
+from .operators import causal, graph, ledger, merge, metrics, order, reconcile, reports, views
 from .queries import JOBS, QUERIES, SQL, VERSIONS, _jobs, chunks, query, table, versions
 from .scratch import write_table
 from .sources import code, notes
@@ -634,9 +634,9 @@ def fibre_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clock whose ticks come back along each chain: what lies between."""
     v = versions(spark, sf_dir).select("doc_id", "version_seq", F.concat_ws(":", "doc_id", F.col("version_seq").cast("string")).alias("event"))
     ticks = v.select("event", F.concat_ws(":", "doc_id", (F.floor(F.col("version_seq") / 2) % 2).cast("string")).alias("tick"))
-    events = v.select("event", F.lit("versions").alias("store"))
-    order = v.select("doc_id", F.col("event").alias("source"), F.col("version_seq").alias("i")).join(v.select("doc_id", F.col("event").alias("target"), F.col("version_seq").alias("j")), "doc_id").where("i < j")
-    return reports.gaps_in_fibres(reports.clock_ticks(events, "given", ticks), order.select("source", "target"))
+    events = v.select("event", F.lit("versions").alias("store"), F.col("doc_id").alias("chain"), F.col("version_seq").alias("position"))
+    none = spark.createDataFrame([], "chain string, position int, to_chain string, to_position int")
+    return order.gaps_in_fibres(reports.clock_ticks(events, "given", ticks), events.select("event", "chain", "position"), none)
 
 
 @query(f"WITH {VERSIONS} SELECT doc_id || ':' || version_seq AS event FROM v WHERE version_seq % 6 = 0")
