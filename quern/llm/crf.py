@@ -124,16 +124,42 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return lines.features(), lines.size, bounds
 
 
+def _long_word(line: bytes, at: int, end: int, piece: int) -> _Counts:
+    """Counts of one word, line[at:end], by parts; its hash is a sum over its
+    bytes and their places, and goes on from part to part."""
+    parts, key = [], np.uint32(0)
+    for lo in range(at, end, piece):
+        buf = np.frombuffer(line, np.uint8, min(piece, end - lo), lo)
+        mixed = _WORD_MIX[buf] * (np.arange(lo - at, lo - at + len(buf), dtype=np.uint32) * np.uint32(2) + np.uint32(3))
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= _MULTIPLIER
+        key = np.add(key, np.add.reduce(mixed, dtype=np.uint32), dtype=np.uint32)
+        parts.append(_count_lines(np.concatenate([buf, np.array([10], np.uint8)])))
+    size, classes = sum(p.size for p in parts), sum(p.classes for p in parts)
+    return _Counts(size, classes, np.ones(1), np.zeros(1), parts[0].first, parts[-1].last, (int(key), int(key)))
+
+
 def _long_line(line: bytes, piece: int) -> _Counts:
-    """Counts of one line, by parts cut at its white space (or, where a part
-    has none, within a word, which then counts as two)."""
+    """Counts of one line, by parts cut before white space; a word that is
+    longer than a part is a part of its own. They equal those of the whole."""
+    spaces = b" \t\r\x0b\x0c"
     total, at = None, 0
     while at < len(line):
         end = min(len(line), at + piece)
+        part = None
         if end < len(line):
-            end = max((line.rfind(c, at + 1, end) for c in b" \t\r\x0b\x0c"), default=-1)
-            end = end if end > at else at + piece
-        part = _count_lines(np.frombuffer(line[at:end] + b"\n", np.uint8))
+            end = max((line.rfind(c, at + 1, end) for c in spaces), default=-1)
+            if end <= at:
+                end = at + 1
+                while end < len(line) and line[at] in spaces and line[end] in spaces:
+                    end += 1
+                if line[at] not in spaces:
+                    end = len(line)
+                    for c in spaces:
+                        found = line.find(c, at, end)
+                        end = found if found >= 0 else end
+                    part = _long_word(line, at, end, piece)
+        part = part or _count_lines(np.frombuffer(line[at:end] + b"\n", np.uint8))
         if total is None:
             total = part
         else:

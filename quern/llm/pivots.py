@@ -18,6 +18,8 @@ from ..scratch import write_table
 #: fewer than SHARED of them are no candidates.
 NEAREST, SHARED = 8, 3
 MIN_PIVOTS, MAX_PIVOTS = 64, 16_384
+#: Products of vectors and pivots that a task has at a time.
+PRODUCTS = 4_000_000
 #: Rows of one inverted list that a task compares at a time.
 BLOCK = 1024
 #: Lists are split by the next shared pivots, so many in a key at most.
@@ -55,12 +57,17 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def describe(vectors: np.ndarray, pivots: np.ndarray, k: int = NEAREST) -> np.ndarray:
-    """Numbers of each vector's k nearest pivots by angle, nearest first."""
+    """Numbers of each vector's k nearest pivots by angle, nearest first; some
+    rows at a time, so that a batch of any size takes the same memory."""
     k = min(k, len(pivots))
-    close = unit(vectors) @ pivots.T
-    top = np.argpartition(-close, k - 1, axis=1)[:, :k]
-    order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
-    return np.take_along_axis(top, order, 1)
+    out = np.empty((len(vectors), k), np.int64)
+    rows = max(1, PRODUCTS // max(1, len(pivots)))
+    for lo in range(0, len(vectors), rows):
+        close = unit(vectors[lo : lo + rows]) @ pivots.T
+        top = np.argpartition(-close, k - 1, axis=1)[:, :k]
+        order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
+        out[lo : lo + rows] = np.take_along_axis(top, order, 1)
+    return out
 
 
 def candidates(a: np.ndarray, b: np.ndarray, key: int, last: int, shared: int) -> np.ndarray:

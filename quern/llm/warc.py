@@ -145,11 +145,12 @@ class Archive:
 
     def __init__(self):
         self.held: list[bytes] = []
-        self.size = self.need = 0
-        self.fields: dict[str, str] | None = None
+        self.size = self.need = self.fed = 0
+        self.fields: dict | None = None
 
     def feed(self, piece: bytes) -> Iterator[dict]:
         self.held.append(piece)
+        self.fed += len(piece)
         self.size += len(piece)
         while self.size >= self.need and self.size:
             data = b"".join(self.held)
@@ -159,7 +160,7 @@ class Archive:
                 if end < 0:
                     self.keep(data, len(data) + 1)
                     return
-                self.fields, data = self.head(data[:end]), data[end + 4 :]
+                self.fields, data = self.head(data[:end]) | {"offset": self.fed - len(data)}, data[end + 4 :]
             length = int(self.fields["content-length"])
             if len(data) < length:
                 self.keep(data, length)
@@ -201,20 +202,21 @@ def _entry(r: dict, with_payload: bool) -> tuple:
     if "x-target-uri-hex" in r:
         url = bytes.fromhex(r["x-target-uri-hex"]).decode("utf-8", "replace")
     ids = [unquote(m[1]) if m else None for m in (page, refers)]
-    return (ids[0], url, r["warc-date"], r["warc-type"], ids[1], size, told, *([body] if with_payload else []))
+    return (ids[0], url, r["warc-date"], r["warc-type"], ids[1], size, told, r["offset"], *([body] if with_payload else []))
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """(id, url, captured, record_type, refers_to, payload_bytes,
-    payload_digest, payload) of every record of the archives in a folder;
-    ids are text. Of a response, size and digest are taken from the payload
+    payload_digest, offset, file, payload) of every record of the archives in
+    a folder; ids are text; offset is the record's first byte in the unpacked
+    file. Of a response, size and digest are taken from the payload
     itself (and held against the header); of a revisit, whose payload is not
     there (null), from the headers. An empty folder gives no rows.
 
     Spark's text source unpacks and streams each file, in pieces between the
     CRLF CRLF marks; a task holds one record at a time, whatever a file has."""
-    names = ["id", "url", "captured", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
-    types = [pa.string()] * 5 + [pa.int64(), pa.string()] + [pa.binary()] * with_payload
+    names = ["id", "url", "captured", "record_type", "refers_to", "payload_bytes", "payload_digest", "offset"] + ["payload"] * with_payload + ["file"]
+    types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * with_payload + [pa.string()]
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, file, held, size = Archive(), None, [], 0
@@ -224,7 +226,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     archive.end()
                     archive, file = Archive(), name
                 for r in archive.feed(piece.as_py() + b"\r\n\r\n"):
-                    held.append(_entry(r, with_payload))
+                    held.append((*_entry(r, with_payload), name))
                     size += len(r["block"]) * with_payload
                     if len(held) == 1000 or size > 1 << 26:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
@@ -233,10 +235,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
-    schema = "id string, url string, captured string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+    schema = "id string, url string, captured string, record_type string, refers_to string, payload_bytes long, payload_digest string, offset long"
     files = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path)
     pieces = files.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    return pieces.mapInArrow(load, schema + ", payload binary" * with_payload)
+    return pieces.mapInArrow(load, schema + ", payload binary" * with_payload + ", file string")
 
 
 def merge_runs(runs: list[Iterable]) -> Iterator:
@@ -295,8 +297,9 @@ def merge_range(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, list[int]]
             runs.setdefault(int(run[at[0]]), []).append(b.take(pa.array(at)))
     pieces, heads, first = [], [], 0
     for run in runs.values():
-        if len(run) > 1:  # blocks of a run may come in any order
-            run.sort(key=lambda b: b.column(KEY[4])[0].as_py())
+        place = np.concatenate([np.asarray(b.column(KEY[4])) for b in run])
+        if (np.diff(place) < 0).any():  # blocks of a run may come in any order, and in one batch
+            run = pa.Table.from_batches(run).take(pa.array(np.argsort(place, kind="stable"))).combine_chunks().to_batches()
         heads.append(_heads(run, first))
         pieces += run
         first += sum(p.num_rows for p in run)
@@ -348,7 +351,8 @@ def archive_pages(
 ) -> DataFrame:
     """Write pages to WARC archives in `path`, read them back, and return the
     merged index: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, url, urlkey, captured, position.
+    refers_to, url, urlkey, captured, position, and where the record lies:
+    file and offset (see `read_warc`).
 
     Null payloads are empty ones (equal to each other); a null URL has the
     empty key; rows with a null id always respond; rows that repeat an id are
@@ -359,10 +363,10 @@ def archive_pages(
     back = read_warc(pages.sparkSession, path, with_payload=False)
     entries = back.select(
         F.col("id").cast(kind).alias("id"), url_key(F.col("url")).alias("urlkey"), "captured", "url", "record_type",
-        F.col("refers_to").cast(kind).alias("refers_to"), "payload_bytes", "payload_digest",
+        F.col("refers_to").cast(kind).alias("refers_to"), "payload_bytes", "payload_digest", "file", "offset",
     )
     out = merged_index(entries)
-    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "urlkey", "captured", "position")
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "urlkey", "captured", "position", "file", "offset")
 
 
 def archive_digest(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -362,6 +363,31 @@ def test_ranges_are_merged_from_pieces_of_runs(spark):
     assert order == sorted(order)
 
 
+@pytest.mark.parametrize("blocks", [[(0, 90)], [(60, 90), (0, 60)], [(0, 30), (60, 90), (30, 60)], [(70, 90), (30, 70), (0, 30)]])
+def test_blocks_of_a_run_may_come_in_any_order(blocks):
+    """Other tasks' blocks of one run, in one batch and straddling batches."""
+    rng = random.Random(len(blocks))
+    rows = sorted((f"u{rng.randint(0, 9)}", "t", rng.randint(0, 5)) for _ in range(90))
+    other = sorted((f"u{rng.randint(0, 9)}", "t", rng.randint(0, 5)) for _ in range(40))
+    came = [(*rows[i], 0, i) for lo, hi in blocks for i in range(lo, hi)]
+    came[25:25] = [(*x, 1, i) for i, x in enumerate(other)]
+    for size in (7, 50, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(warc.KEY, r, strict=True)) for r in came[at : at + size]]) for at in range(0, len(came), size)]
+        table, order = warc.merge_range(iter(batches))
+        got = [tuple(r.values()) for r in table.take(pa.array(order)).to_pylist()]
+        assert got == sorted(came)
+
+
+def test_the_index_says_where_records_lie(spark, tmp_path):
+    out = warc.archive_pages(spark.createDataFrame(page_rows(), PAGES), str(tmp_path / "w")).collect()
+    assert len({(r.file, r.offset) for r in out}) == len(out)
+    for r in out:
+        data = gzip.open(r.file.removeprefix("file:").replace("///", "/")).read()[r.offset :]
+        record = next(iter(warc.Archive().feed(data)))
+        assert data.startswith(b"WARC/1.1") and record["warc-type"] == r.record_type and record["warc-payload-digest"].endswith(r.payload_digest)
+        assert record["warc-record-id"].count(":page:") == (r.page_id is not None)
+
+
 def test_archives_are_read_in_pieces():
     a = warc.Archive()
     block = b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nx\r\n\r\ny\r\n\r\n"
@@ -372,7 +398,7 @@ def test_archives_are_read_in_pieces():
         for at in range(0, len(data), n):
             got += a.feed(data[at : at + n])
         a.end()
-        assert [r["block"] for r in got] == [block] * 3
+        assert [r["block"] for r in got] == [block] * 3 and [r["offset"] for r in got] == [0, len(record), 2 * len(record)]
     with pytest.raises(ValueError, match="within a record"):
         list(a.feed(data[:-20]))
         a.end()

@@ -255,7 +255,9 @@ def test_features_by_pieces_equal_those_of_the_whole():
     rng = random.Random(6)
     words = ["one", "TWO", "two", "é|!", "x.", "  ", "#"]
     text = "\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 9, 300]))) for _ in range(60))
-    for t in (text, text + "\n", " ".join(["same"] * 500), "\n" * 300, ""):
+    long = "w" * 900
+    odd = [long, f"{long} {long} {long}x", f"  {long}\t\t {long}", f"a {long}", f"{long}  b {long}\n{long}", "é" * 700, " " * 900, f"{' ' * 450}{long}{' ' * 300}"]
+    for t in (text, text + "\n", " ".join(["same"] * 500), "\n" * 300, "", *odd):
         x, size, _ = crf.line_features([t])
         got = list(crf.features_by_pieces(t, 200))
         assert np.allclose(np.concatenate([g[0] for g in got]), x) and (np.concatenate([g[1] for g in got]) == size).all()
