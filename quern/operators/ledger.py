@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Allowed steps; states without one are final.
@@ -99,3 +99,14 @@ def coalesce_jobs(jobs: DataFrame) -> DataFrame:
     kept = jobs.where(same).drop(*key).join(one, "id").withColumn("priority", F.col("__p")).drop("__p")
     rest = jobs.where(~same).withColumn("merged", F.lit(1).cast("long"))
     return kept.select(*jobs.columns, "merged").unionByName(rest.select(*jobs.columns, "merged"))
+
+
+def last_runs(runs: DataFrame, by: str = "pipeline", recent: int = 5) -> DataFrame:
+    """(by, run_id, finished_at, clean, recent_clean, recent): the last run of
+    each pipeline (run_id, finished_at, failed), whether it was clean, and how
+    many of its `recent` last ones were; ties to the larger id."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("finished_at"), F.desc("run_id")))
+    rows = runs.withColumn("__n", place).where(F.col("__n") <= recent)
+    top = F.max_by(F.struct("run_id", "finished_at", (F.col("failed") == 0).alias("clean")), -F.col("__n"))
+    out = rows.groupBy(by).agg(top.alias("t"), F.count_if(F.col("failed") == 0).alias("recent_clean"), F.count(F.lit(1)).alias("recent"))
+    return out.select(by, "t.run_id", "t.finished_at", "t.clean", "recent_clean", "recent")

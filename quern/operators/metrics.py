@@ -195,3 +195,48 @@ def context_size(tokens: DataFrame, col: str = "tokens") -> DataFrame:
     1024, 2048 at least."""
     p = F.percentile(col, 0.95)
     return tokens.agg(F.greatest(F.lit(2048), F.ceil(p * 1.25 / 1024) * 1024).cast("long").alias("num_ctx"))
+
+
+def prompt_budget(parts: DataFrame, budget: int, overhead: int = 4) -> DataFrame:
+    """parts (request, kind, rank, tokens) with kept_tokens, and escalate:
+    what of a request's prompt fits into the budget, `overhead` tokens a part.
+
+    The frame always stays. What is retrieved goes first, the lowest ranked
+    before the others; then history, the oldest (lowest rank) first; then the
+    outputs of tools from the last on, the last one kept being cut to what is
+    left. Dropped parts have null. A request whose frame alone is too long
+    escalates. Running sums within a request say all of it."""
+    cost = F.col("tokens") + overhead
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, cost).otherwise(0)).over(Window.partitionBy("request"))
+    up = F.sum(cost).over(Window.partitionBy("request", "kind").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    down = F.sum(cost).over(Window.partitionBy("request", "kind").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = parts.withColumns({"__f": of("frame"), "__h": of("history"), "__t": of("tool"), "__up": up, "__down": down})
+    left = F.lit(budget) - F.col("__f") - F.col("__up") + cost - overhead  # for a tool's output, after those before it
+    tool = F.when((F.col("__f") + F.col("__t") <= budget) | (F.col("__f") + F.col("__up") <= budget), F.col("tokens")).when(left > 0, left)
+    kept = (
+        F.when(F.col("kind") == "frame", F.col("tokens"))
+        .when((F.col("kind") == "retrieved") & (F.col("__f") + F.col("__h") + F.col("__t") + F.col("__up") <= budget), F.col("tokens"))
+        .when((F.col("kind") == "history") & (F.col("__f") + F.col("__t") + F.col("__down") <= budget), F.col("tokens"))
+        .when(F.col("kind") == "tool", tool)
+    )
+    return rows.select(*parts.columns, kept.cast("long").alias("kept_tokens"), (F.col("__f") > budget).alias("escalate"))
+
+
+def mismatch_density(pairs: DataFrame, notes: DataFrame, floor: float) -> DataFrame:
+    """One row for pairs (a, b) of another class of edges against notes (id,
+    vector): pairs_total, pairs_scored (both ends have a vector), below_floor,
+    mismatch_density, mean_cos, and ambient_mean_cos over all pairs of notes,
+    which follows from the sum of the unit vectors without a row a pair."""
+    from ..functions.vectors import dot, doubles, unit
+
+    u = notes.select("id", unit(doubles(F.col("vector"))).alias("x")).where(F.exists("x", lambda c: c != 0))
+    side = lambda c: u.select(F.col("id").alias(c), F.col("x").alias(f"x{c}"))
+    scored = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("cos", dot(F.col("xa"), F.col("xb")))
+    one = scored.agg(
+        F.count(F.lit(1)).alias("pairs_total"), F.count("cos").alias("pairs_scored"), F.count_if(F.col("cos") < floor).alias("below_floor"), F.avg("cos").alias("mean_cos")
+    )
+    one = one.withColumn("mismatch_density", F.when(F.col("pairs_scored") > 0, F.col("below_floor") / F.col("pairs_scored")))
+    parts = u.select("id", F.posexplode("x").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("s"))
+    n = u.agg(F.count(F.lit(1)).alias("n"))
+    ambient = parts.agg(F.sum(F.col("s") * F.col("s")).alias("q")).crossJoin(n)
+    return one.crossJoin(ambient.select(F.when(F.col("n") > 1, (F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("ambient_mean_cos")))

@@ -53,10 +53,8 @@ def review_queue(claims: DataFrame, runs: DataFrame, novel_only: bool = False) -
 def origins(references: DataFrame, causes: DataFrame) -> DataFrame:
     """(edge_id, session_id, cause_id): the earliest cause of the commit at
     which an edge was seen; ties by id."""
-    hit = references.select(F.col("edge_id"), "commit_sha").join(
-        causes.select(F.col("pair_cut_sha").alias("commit_sha"), F.col("edge_id").alias("cause_id"), "session_id", "event_order"), "commit_sha"
-    )
-    best = hit.groupBy("edge_id").agg(F.min(F.struct("event_order", "cause_id", "session_id")).alias("m"))
+    first = causes.groupBy(F.col("pair_cut_sha").alias("commit_sha")).agg(F.min(F.struct("event_order", F.col("edge_id").alias("cause_id"), "session_id")).alias("m"))
+    best = references.select("edge_id", "commit_sha").distinct().join(first, "commit_sha").groupBy("edge_id").agg(F.min("m").alias("m"))
     return best.select("edge_id", F.col("m.session_id").alias("session_id"), F.col("m.cause_id").alias("cause_id"))
 
 
@@ -221,6 +219,21 @@ def resolve_document(catalog: DataFrame, ref: str) -> str:
     return found[0].source_path
 
 
+def resolve_documents(catalog: DataFrame, refs: DataFrame) -> DataFrame:
+    """refs (ref) with source_path and outcome (resolved, ambiguous, unknown):
+    the one active document whose path is, or ends in, the reference. Every
+    path is known by its own endings, so references are looked up by a join."""
+    active = catalog.where("active").select("source_path").distinct()
+    parts = F.split("source_path", "/")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    known = active.select("source_path", F.explode(F.array_distinct(endings)).alias("ref"))
+    asked = refs.select("ref").distinct()
+    found = known.join(asked, "ref", "left_semi").groupBy("ref").agg(F.countDistinct("source_path").alias("n"), F.min("source_path").alias("source_path"))
+    out = asked.join(found, "ref", "left")
+    what = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unknown")
+    return out.select("ref", F.when(F.col("n") == 1, F.col("source_path")).alias("source_path"), what.alias("outcome"))
+
+
 def cited_titles(outputs: DataFrame, sources: DataFrame, links: Column) -> DataFrame:
     """(id, title, outcome) of the titles an output cites: resolved,
     dangling (no source) or ambiguous (several)."""

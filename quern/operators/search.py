@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.ranks import global_rank
+from ..scratch import partitions
 from ..functions.vectors import cosine, doubles, literal
 
 
@@ -74,3 +75,15 @@ def best_papers(papers: DataFrame, most: int) -> DataFrame:
     rows = rows.withColumns({"__key": key, "evidence_rank": rank})
     one = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("evidence_rank", "arrival"))).where("__n = 1")
     return one.drop("__key", "__n").orderBy("evidence_rank", "arrival").limit(most)
+
+
+def against(queries: DataFrame, rows: DataFrame, key: str, block: int = 4096) -> DataFrame:
+    """All pairs of stated queries and rows, in blocks: queries are cut into
+    groups of about `block`, rows into as many slices as there are partitions;
+    a group meets a slice in one place, and neither side is sent whole."""
+    spark = rows.sparkSession
+    groups, slices = max(1, -(-queries.count() // block)), partitions(spark)
+    series = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("__g", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).withColumn("__s", series(slices))
+    r = rows.withColumn("__s", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(slices)).cast("int")).withColumn("__g", series(groups))
+    return r.join(q.hint("shuffle_hash"), ["__g", "__s"]).drop("__g", "__s")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import write_table
 from .notes import python_symbols
 
 FACTS = "path string, fact string, qualname string, line int, name string, module string, alias string, level int"
@@ -100,9 +101,9 @@ def code_edges(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     and call, where that can be told: a name of the same file's top level, or
     one that the file imports from a file that is there. Other names are
     dropped, and so are edges of a symbol to itself."""
-    facts = facts if facts is not None else python_facts(files)
+    facts = write_table(facts if facts is not None else python_facts(files), "facts")  # each file is parsed once for either
     uses = facts.where("fact IN ('inherits', 'calls')").select("path", "qualname", F.col("fact").alias("kind"), "name", "line").distinct()
-    top = python_symbols(files).where("kind IN ('class', 'function') AND NOT contains(qualname, '.')").select("path", F.col("qualname").alias("name")).distinct()
+    top = write_table(python_symbols(files).select("path", "kind", "qualname"), "symbols").where("kind IN ('class', 'function') AND NOT contains(qualname, '.')").select("path", F.col("qualname").alias("name")).distinct()
     own = uses.join(top, ["path", "name"]).select("path", "qualname", "kind", F.col("path").alias("target_path"), F.col("name").alias("target"), "line")
     named = facts.where("fact = 'import' AND name <> ''").withColumn("known_as", F.when(F.col("alias") != "", F.col("alias")).otherwise(F.col("name")))
     last = named.groupBy("path", "known_as").agg(F.max_by(F.struct("module", "name", "level"), "line").alias("i"))
