@@ -108,9 +108,9 @@ def census_influence(base: DataFrame, staged: DataFrame, authorship: DataFrame,
     uneven = uneven.join(new.select(F.col("witness").alias("__w")), F.array_contains("witness", F.col("__w")), "left_semi")
     back = graph.reach_backs(staged, authorship)
     back = back.join(base.where("kind = 'citation'").select(F.col("source").alias("citing"), F.col("target").alias("cited"), "witness"), ["citing", "cited", "witness"], "left_anti")
-    own = staged.agg(F.collect_set("witness").alias("w"))  # the overlay under review, small by nature
-    claims = _claims(loops, uneven, back.distinct())
-    return claims.crossJoin(F.broadcast(own)).select("kind", "members", "witness", F.array_sort(F.array_intersect("witness", "w")).alias("attributed"))
+    claims = _claims(loops, uneven, back.distinct()).select("kind", "members", "witness", F.explode("witness").alias("__w"))
+    hit = claims.join(staged.select(F.col("witness").alias("__w")).distinct(), "__w", "left_semi")
+    return hit.groupBy("kind", "members", "witness").agg(F.array_sort(F.collect_set("__w")).alias("attributed"))
 
 
 def _paths_between(arcs: DataFrame, asked: DataFrame, max_len: int) -> DataFrame:
