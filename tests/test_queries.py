@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from quern import store_queries as queries
+from quern import source_queries as queries
 
 SF = "/root/testdata/sf0.001"
 
