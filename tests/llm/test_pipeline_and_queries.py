@@ -36,7 +36,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_operator_is_registered():
     found = {q.split("_")[0] for q in queries.QUERIES}
-    assert found == {f"op{n}" for n in range(1, 11)}
+    assert found == {f"op{n}" for n in range(1, 14)}
 
 
 def test_pipeline_stage_by_stage(spark):
