@@ -172,8 +172,10 @@ def generation_bracket(ticks: DataFrame, walls: DataFrame) -> DataFrame:
     w = walls.select(F.col("wall").alias("x"), F.lit(1).alias("q"), F.lit(None).cast("int").alias("g"))
     rows = t.unionAll(w)
     rows = write_table(rows.repartitionByRange(partitions(rows.sparkSession), "x", "q").withColumn("__r", F.spark_partition_id()), "walls")
-    own = Window.partitionBy("__r").orderBy("x", "q")
-    before, after = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(1, Window.unboundedFollowing)
+    # what comes after is what came before in the order turned round: a frame up
+    # to the end of the range would be summed anew for each row
+    before = Window.partitionBy("__r").orderBy("x", "q").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("__r").orderBy(F.desc("x"), F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy(F.col("__r").alias("__range")).agg(F.max("g").alias("top"), F.min("g").alias("low"))
     over = Window.orderBy("__range")  # as many rows as ranges
     carried = ranges.select(
