@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1_000_000
 #: Words, and their characters, that an encoder remembers before it starts anew.
 MEMO_WORDS, MEMO_CHARS = 400_000, 16_000_000
+#: Rows whose texts a task holds as Python strings at once.
+BATCH_ROWS = 1_000
 #: Tokens that wait in a task for a partner; bounds its memory.
 WINDOW_TOKENS = 500_000
 
@@ -54,7 +56,8 @@ class WordEncoder:
     a word and is left to the tokenizer.
     """
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, memo_words: int = MEMO_WORDS):
+        self.most, self.most_chars = memo_words, MEMO_CHARS * memo_words // MEMO_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +82,7 @@ class WordEncoder:
     def forget(self) -> None:
         """Keep the words that came again since the last time."""
         words, again = list(self.index), np.flatnonzero(self.used >= 2)
-        if len(again) > MEMO_WORDS // 2 or self.chars > 2 * MEMO_CHARS:
+        if len(again) > self.most // 2 or self.chars > 2 * self.most_chars:
             self.clear()
             return
         ids = [self.ids[a : a + n] for a, n in zip(self.first[again], self.size[again], strict=True)]
@@ -169,7 +172,7 @@ class WordEncoder:
         return self.encode_words(texts)
 
     def encode_words(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > MEMO_WORDS or self.chars > MEMO_CHARS:
+        if len(self.index) > self.most or self.chars > self.most_chars:
             self.forget()
         words: list[str] = []
         ends = []
@@ -201,14 +204,14 @@ def blank_pieces(text: str, most: int) -> Iterator[str]:
     yield text[at:]
 
 
-_encoders: dict[str | None, WordEncoder] = {}
+_encoders: dict[tuple[str | None, int], WordEncoder] = {}
 
 
-def encoder(path: str | None) -> WordEncoder:
+def encoder(path: str | None, memo_words: int = MEMO_WORDS) -> WordEncoder:
     """One encoder for each Python worker, kept between its tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, memo_words) not in _encoders:
+        _encoders[path, memo_words] = WordEncoder(path, memo_words)
+    return _encoders[path, memo_words]
 
 
 def in_chunks(texts: list[str | None], most: int = CHUNK_CHARS, alone: bool = False) -> Iterator[tuple[int, int]]:
@@ -325,6 +328,7 @@ def pack_examples(
     max_loss: int = 4096,
     cut: bool = True,
     prompt_tokens: int = 0,
+    memo_words: int = MEMO_WORDS,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned
     32-bit, binary), doc_tokens, loss_tokens, sequence_id, offset.
@@ -335,7 +339,8 @@ def pack_examples(
     `loss_from_col` is the place of the first loss-bearing token of each
     example; where it is null or not named, that is `prompt_tokens`, but a
     quarter of the example at most. tokenizer_path None is the public
-    word_bpe_49k; any other tokenizer file is used as it is.
+    word_bpe_49k; any other tokenizer file is used as it is. An encoder remembers
+    `memo_words` words: fewer take less memory and more time.
 
     Null and empty texts are the end id alone. Repeated rows are packed one
     by one, a null id is kept. Other columns are left out. An empty table
@@ -349,7 +354,7 @@ def pack_examples(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, memo_words)
         packer = Packer(max_tokens, max_segments, max_loss, cut, TaskContext.get().partitionId() << 33)
         kind = None
 
@@ -360,7 +365,7 @@ def pack_examples(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         end = np.array([end_id], np.uint32)
-        for b in batches:
+        for b in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             kind = b.column(0).type
             ids, texts, starts = (b.column(i).to_pylist() for i in range(3))
             for lo, hi in in_chunks(texts):
