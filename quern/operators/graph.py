@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import write_table
+from ..scratch import partitions, write_table
 from . import order
 from .components import SMALL, connected_components
 
+#: Rows of members that one task groups.
+GROUPED_ROWS = 400_000
+
 
 def canonical(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Undirected edges once each, without loops."""
@@ -324,9 +327,12 @@ def coproduction(members: DataFrame, group: str, item: str) -> DataFrame:
     """(u, v, w): items that occur in one group, with the number of groups.
     Groups are joined on their key; one of g items gives g * (g - 1) / 2 rows,
     so groups must be small by nature (orders, sessions)."""
-    m = members.select(group, item).distinct()
-    pair = m.withColumnRenamed(item, "u").join(m.withColumnRenamed(item, "v"), group).where("u < v")
-    return pair.groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    m = members.select(group, item)
+    # as many tasks as rows ask for, so that none holds more when there are more
+    n = max(partitions(m.sparkSession), -(-m.count() // GROUPED_ROWS))
+    m = m.repartition(n, group).dropDuplicates([group, item])
+    pair = m.withColumnRenamed(item, "u").join(m.withColumnRenamed(item, "v").hint("merge"), group).where("u < v").select("u", "v")
+    return pair.repartition(n, "u", "v").groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 def common_change(a: DataFrame, b: DataFrame) -> DataFrame:
