@@ -6,11 +6,15 @@ import ast
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from ..scratch import write_table
 
 # Folders that hold no notes.
 HOUSEKEEPING = (".git", "bak", ".recycle", "assets", ".obsidian")
@@ -153,14 +157,52 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", hrefs.alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _with_commits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, at, commit_sha, line) of the lines of changed files with the last
+    commit above them in their block, null if none, and for every block a row
+    without a line that has its last commit."""
+    names = ["f", "at", "commit_sha", "line"]
+    here, sha = None, None
+
+    def end() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*here, sha, None), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names)
+
+    for b in batches:
+        lines, f, at = (b.column(i) for i in range(3))
+        turn = np.flatnonzero((np.diff(f.dictionary_encode().indices.to_numpy()) != 0) | (np.diff(at.to_numpy()) != 0)) + 1
+        for lo, hi in zip([0, *turn], [*turn, b.num_rows], strict=True):
+            if hi == lo:
+                continue
+            block = f[int(lo)].as_py(), at[int(lo)].as_py()
+            if block != here:
+                if here is not None:
+                    yield end()
+                here, sha = block, None
+            part = lines[lo:hi]
+            found = pc.if_else(pc.match_substring_regex(part, "^[0-9a-f]{40}$"), part, pa.scalar(None, pa.string()))
+            found = pc.fill_null(pc.fill_null_forward(found), pa.scalar(sha, pa.string()))
+            sha = found[-1].as_py()
+            changed = pc.starts_with(part, ":")
+            kept = found.filter(changed)
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([f[lo:hi].filter(changed), at[lo:hi].filter(changed), kept, part.filter(changed)], names)
+    if here is not None:
+        yield end()
+
+
 def commit_diffs(spark: SparkSession, path: str) -> DataFrame:
     """(commit_sha, path, old_blob, new_blob) from text files written by
     `git log --raw --no-renames --no-abbrev --first-parent --format=%H`:
     a rename is a deletion and an addition; a blob that is not there is null."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"), F.input_file_name().alias("f"))
-    sha = F.last(F.when(F.col("line").rlike("^[0-9a-f]{40}$"), F.col("line")), ignorenulls=True)
-    rows = lines.withColumn("commit_sha", sha.over(Window.partitionBy("f").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where(F.col("line").startswith(":")).select("commit_sha", F.split("line", "[ \t]").alias("c"), F.substring_index("line", "\t", -1).alias("path"))
+    # Files are read by blocks, line by line. A block's lines are in one task, in
+    # order; what comes before its first commit belongs to the last one of an
+    # earlier block of the file, which is known from one row for each block.
+    lines = spark.read.text(path, lineSep="\n").select("value", "_metadata.file_path", "_metadata.file_block_start")
+    filled = write_table(lines.mapInArrow(_with_commits, "f string, at long, commit_sha string, line string"), "commit-lines")
+    own = Window.partitionBy("f").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as blocks
+    last = filled.where("line IS NULL").select("f", "at", F.last("commit_sha", ignorenulls=True).over(own).alias("__last"))
+    rows = filled.where("line IS NOT NULL").join(F.broadcast(last), ["f", "at"]).withColumn("commit_sha", F.coalesce("commit_sha", "__last"))
+    rows = rows.select("commit_sha", F.split("line", "[ \t]").alias("c"), F.substring_index("line", "\t", -1).alias("path"))
     blob = lambda i: F.when(~F.get("c", F.lit(i)).rlike("^0+$"), F.get("c", F.lit(i)))
     return rows.select("commit_sha", "path", blob(2).alias("old_blob"), blob(3).alias("new_blob"))
 
