@@ -92,9 +92,17 @@ def poset_from_chains(versions: DataFrame) -> DataFrame:
     """(source, target) of all comparable pairs of version chains (doc_id,
     version_seq, digest): the closure of chains is their order."""
     v = versions.select("doc_id", "version_seq", "digest")
-    return v.select("doc_id", F.col("version_seq").alias("i"), F.col("digest").alias("source")).join(
-        v.select("doc_id", F.col("version_seq").alias("j"), F.col("digest").alias("target")), "doc_id"
-    ).where("i < j AND source <> target").select("source", "target").distinct()
+    # A pair can only come twice if one of its digests does: the others, which
+    # are as many as there are pairs of positions, are not shuffled to be told apart.
+    often = v.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.lit(True).alias("often"))
+    v = write_table(v.join(often, "digest", "left").withColumn("often", F.coalesce("often", F.lit(False))), "versions")
+    pairs = v.select("doc_id", F.col("version_seq").alias("i"), F.col("digest").alias("source"), F.col("often").alias("x")).join(
+        v.select("doc_id", F.col("version_seq").alias("j"), F.col("digest").alias("target"), F.col("often").alias("y")), "doc_id"
+    ).where("i < j AND source <> target")
+    once = pairs.where("NOT (x OR y)").select("source", "target")
+    if v.where("often").isEmpty():
+        return once
+    return once.unionAll(pairs.where("x OR y").select("source", "target").distinct())
 
 
 def coboundary_squared(order: DataFrame) -> DataFrame:
