@@ -92,3 +92,25 @@ def test_coproduction_deals_its_pairs_by_their_number(spark, monkeypatch):
                 if u < v:
                     want[u, v] = want.get((u, v), 0) + 1
     assert {(r.u, r.v): r.w for r in got.collect()} == want
+
+
+def test_triangles_are_found_where_three_colours_meet(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 150)
+    monkeypatch.setattr(graph, "TASK_WEDGES", 40)
+    rng = random.Random(6)
+    edges = {(u, v): rng.choice([-1, 1]) for u in range(40) for v in range(u + 1, 40) if rng.random() < 0.5 or v < 12}
+    df = spark.createDataFrame([(u, v, s) for (u, v), s in edges.items()], "u long, v long, sign int")
+    want = {(a, b, c): edges[a, b] * edges[a, c] * edges[b, c] < 0 for a, b in edges for c in range(b + 1, 40) if (a, c) in edges and (b, c) in edges}
+    got = [tuple(r) for r in graph.triangles(df).collect()]
+    assert len(got) == len(want) and set(got) == set(want)
+    signed = graph.frustrated(df).collect()
+    assert len(signed) == len(want) and {(r.a, r.b, r.c): r.frustrated for r in signed} == want
+    per = {r.node: r.triangles for r in graph.clustering(df).collect()}
+    assert per == {n: sum(n in t for t in want) for n in {x for e in edges for x in e}}
+    words = df.select(F.col("u").cast("string").alias("x"), F.col("v").cast("string").alias("y"))
+    words = words.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    assert graph.triangles(words).where("a < b AND b < c").count() == len(want)
+    bent = {(r.u, r.v): r.curvature for r in graph.forman(df).collect()}
+    deg = {n: sum(n in e for e in edges) for n in per}
+    assert bent == {(u, v): 4 - deg[u] - deg[v] + 3 * sum(u in t and v in t for t in want) for u, v in edges}
+    assert "Join" not in plan(graph.triangles(df))
