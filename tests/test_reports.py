@@ -114,3 +114,11 @@ def test_fibres_and_accounts(spark):
         reports.clock_ticks(events, "wall")
     rows = reports.accounted(events, F.when(F.col("event") == "a", "new").otherwise("odd"), ("new", "same")).collect()
     assert {r.bucket: (r.n, r.complete) for r in rows} == {"new": (1, None), "same": (0, None), "total": (4, False)}
+
+
+def test_cosine_pairs_of_string_ids_with_empty_tiles(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 2)
+    vec = lambda i: [1.0 if i // 2 == k else 0.0 for k in range(5)]
+    df = spark.createDataFrame([(f"n{i}", vec(i)) for i in range(10)], "id string, vector array<double>")
+    got = sorted((r.a, r.b) for r in pairs.cosine_pairs(df, 0.5).collect())
+    assert got == [(f"n{i}", f"n{i + 1}") for i in range(0, 10, 2)]
