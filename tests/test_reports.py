@@ -116,9 +116,37 @@ def test_fibres_and_accounts(spark):
     assert {r.bucket: (r.n, r.complete) for r in rows} == {"new": (1, None), "same": (0, None), "total": (4, False)}
 
 
-def test_cosine_pairs_of_string_ids_with_empty_tiles(spark, monkeypatch):
-    monkeypatch.setattr(pairs, "TILE", 2)
-    vec = lambda i: [1.0 if i // 2 == k else 0.0 for k in range(5)]
-    df = spark.createDataFrame([(f"n{i}", vec(i)) for i in range(10)], "id string, vector array<double>")
-    got = sorted((r.a, r.b) for r in pairs.cosine_pairs(df, 0.5).collect())
-    assert got == [(f"n{i}", f"n{i + 1}") for i in range(0, 10, 2)]
+def test_cosine_pairs_of_string_ids_with_empty_tiles(spark):
+    """1,500 directions are more than a tile; two of them are one."""
+    turn = [(f"n{i}", np.pi * (i or 7) / 1500) for i in range(1500)]
+    df = spark.createDataFrame([(n, [float(np.cos(t)), float(np.sin(t))]) for n, t in turn], "id string, vector array<double>")
+    assert [(r.a, r.b) for r in pairs.cosine_pairs(df, 1 - 1e-7).collect()] == [("n0", "n7")]
+
+
+def test_forests_and_label_sums_of_pairs_in_blocks(spark, monkeypatch):
+    """A pair of blocks gives its forest, or its sums; what is made of these is that of all pairs."""
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(120, 3)), 1)
+    v[60:70] = v[50]  # copies: ties of weight
+    df = spark.createDataFrame([(i, x.tolist(), None if i % 7 == 0 else f"g{i % 4}") for i, x in enumerate(v)], "id long, vector array<double>, label string")
+    monkeypatch.setattr(pairs, "BLOCK", 40)
+    named = lambda t: t.select(F.col("a").alias("u"), F.col("b").alias("v"), F.round("sim", 9).alias("w"))
+    full = pairs.cosine_pairs(df, 0.6)
+    thin = pairs.cosine_pairs(df, 0.6, forest=True)
+    assert thin.count() < full.count() / 3
+    weight = lambda t: (t.count(), round(t.agg(F.sum("w")).first()[0], 6))
+    assert weight(graph.spanning_forest(named(thin))) == weight(graph.spanning_forest(named(full)))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims, label = u @ u.T, [None if i % 7 == 0 else f"g{i % 4}" for i in range(120)]
+    want = {}
+    for i in range(120):
+        for j in range(i + 1, 120):
+            if sims[i, j] >= 0.6:
+                k = frozenset([label[i], label[j]])
+                want[k] = want.get(k, 0) + sims[i, j]
+    got = {}
+    for r in pairs.cosine_between(df, "label", 0.6).collect():
+        got[frozenset([r.u, r.v])] = got.get(frozenset([r.u, r.v]), 0) + r.w
+    assert got == pytest.approx(want)
+    e = [(0, 1, 0.5), (0, 2, 0.5), (1, 2, 0.5), (2, 3, 0.9), (0, 3, 0.4)]
+    assert sorted(pairs.forest_places(*map(np.array, zip(*e, strict=True))).tolist()) == [0, 1, 3]
