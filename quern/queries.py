@@ -227,8 +227,11 @@ def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT y.label, w, x.label <> y.label FROM e JOIN l x ON x.n = u JOIN l y ON y.n = v), g AS (SELECT label, sum(w) AS vol, sum(CASE WHEN cut THEN w ELSE 0 END) AS bnd FROM s GROUP BY label), z AS (SELECT sum(w) AS total FROM s)
 SELECT label, round(bnd / least(vol, total - vol), 6) AS conductance FROM g, z""")
 def community_conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return graph.conductance(edges_at(spark, sf_dir, 0.30), labels).withColumn("conductance", F.round("conductance", 6))
+    """Of the graph of labels: a tie has the weight of all between its ends."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.to_json(F.struct("label")).alias("name"), "label", F.col("embedding").alias("vector"))
+    labels = e.select(F.col("name").alias("id"), "label").distinct()
+    between = write_table(pairs.cosine_between(e, "name", 0.30), "between")
+    return graph.conductance(between, labels).withColumn("conductance", F.round("conductance", 6))
 
 
 @query(f"""WITH {edges_sql(0.30)}, s AS (SELECT u, v, CASE WHEN (u + v) % 3 = 0 THEN -1 ELSE 1 END AS sign FROM e), t AS (
