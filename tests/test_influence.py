@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import re
 
 import pytest
 
@@ -79,3 +80,17 @@ def test_census_influence_is_the_difference_of_two_censuses(spark):
     assert {c[0] for c in want} == {census.LOOP, census.ASYMMETRY, census.REACH_BACK}
     assert not census.census_influence(frame(base), frame(staged).limit(0), ranks, 4).collect()
     assert graph.loops  # the full enumeration stays for whole censuses
+
+
+def test_rows_of_one_source_do_not_meet_in_one_task(spark, monkeypatch):
+    plans = []
+    write = paths.write_table
+    monkeypatch.setattr(paths, "write_table", lambda df, tag: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if tag == "front" else None, write(df, tag))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.8), (0, 2, 0.5), (2, 3, 0.7)], "u long, v long, w double")
+        got = sorted(map(tuple, paths.product_paths(e, spark.createDataFrame([(0, 2), (0, 3)], "a long, b long")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(0, 2, 0, 0), (0, 2, 1, 1), (0, 2, 2, 2), (0, 3, 0, 0), (0, 3, 1, 1), (0, 3, 2, 2), (0, 3, 3, 3)]
+    assert plans and not any(re.search(r"SortMergeJoin \[source#\d+L?\]", p) for p in plans)
