@@ -3,6 +3,7 @@ documents that hold each linked pair of tokens."""
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -30,14 +31,17 @@ PARTIAL_KEYS = 4_000_000
 #: follows: the first tokenizer begins a word with it and the second puts its
 #: own there. A space at the text's end stays, as nothing follows.
 _CUT = re.compile(r"(?<=\S) (?!\Z)")
-_UNLIKE_SPLIT = re.compile(r"\s |\A | \Z")
+#: White space before a space: such spaces are no cuts. Searched one by one,
+#: which is several times faster than a pattern.
+_KEPT_SPACES = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 
 
 def units(text: str) -> list[str]:
     """The parts of a text that are tokenized apart; none of an empty one."""
     if not text:
         return []
-    return _CUT.split(text) if _UNLIKE_SPLIT.search(text) else text.split(" ")
+    unlike = text[0] == " " or text[-1] == " " or any(s in text for s in _KEPT_SPACES)
+    return _CUT.split(text) if unlike else text.split(" ")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -95,6 +99,8 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.by_unit = self.words_stand_alone(pieces)
         self.a_width, self.b_width = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
+        named = lambda n, last: np.array([f"{i}{end}" for end in (",", last) for i in range(n)], object)
+        self.a_names, self.b_names = named(len(self.a_bytes), "|"), named(len(self.b_bytes), ";")
         self.clear()
 
     def words_stand_alone(self, pieces: list[str]) -> bool:
@@ -116,13 +122,14 @@ class Aligner:
         self.counted = np.zeros((0, 2), np.int64)  # links of the highest count, sum of counts
         self.chars = 0
 
-    def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of a, of b, and their numbers by unit. For a, units are joined
+    def ids(self, found: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a, of b, and their numbers by unit (`raw`: their bytes, with
+        the space before). For a, units are joined
         to one text, which is several times faster than one by one; their
         bytes tell them apart again."""
         b = self.b.encode(found, num_threads=1)
         n_b = np.fromiter(map(len, b), np.int64, len(b))
-        width = np.fromiter((len(u.encode()) + 1 for u in found), np.int64, len(found))
+        width = np.fromiter(map(len, raw), np.int64, len(found))
         parts, sizes = [], np.zeros(len(found), np.int64)
         lo = 0
         while lo < len(found):
@@ -142,8 +149,9 @@ class Aligner:
         return np.concatenate(parts), np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum())), sizes, n_b
 
     def learn(self, found: list[str], counts: PairCounts | None) -> None:
-        a, b, n_a, n_b = self.ids(found)
-        wanted = b"".join((" " + u).encode() for u in found)
+        raw = [b" " + u.encode() for u in found]
+        a, b, n_a, n_b = self.ids(found, raw)
+        wanted = b"".join(raw)
         whole = [b"".join(map(t.__getitem__, x.tolist())) for t, x in ((self.a_bytes, a), (self.b_bytes, b))]
         bad = np.zeros(len(found), bool)
         ends_a, ends_b = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
@@ -151,13 +159,15 @@ class Aligner:
             for width, n, text in ((ends_a, n_a, whole[0]), (ends_b, n_b, whole[1])):
                 upto = np.concatenate([[0], width])[np.cumsum(n)]
                 first = 0
-                for i, (u, end) in enumerate(zip(found, upto.tolist(), strict=True)):
-                    bad[i] |= text[first:end] != (" " + u).encode()
+                for i, (u, end) in enumerate(zip(raw, upto.tolist(), strict=True)):
+                    bad[i] |= text[first:end] != u
                     first = end
             a, b = a[np.repeat(~bad, n_a)], b[np.repeat(~bad, n_b)]
             n_a, n_b = np.where(bad, 0, n_a), np.where(bad, 0, n_b)
             ends_a, ends_b = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
-        ends = np.union1d(ends_a, ends_b)
+        mark = np.zeros(max(ends_a[-1:].sum(), ends_b[-1:].sum()) + 1, bool)
+        mark[ends_a], mark[ends_b] = True, True
+        ends = np.flatnonzero(mark)
         ia, ib = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         unit = np.repeat(np.arange(len(found)), n_a)[ia]
         both = (ends_a[ia] == ends) & (ends_b[ib] == ends)
@@ -176,23 +186,40 @@ class Aligner:
         bounds = np.concatenate([[0], np.cumsum(n_links)])  # a unit's links stand together
         add = [np.diff(np.concatenate([[0], np.cumsum(x[back])])[bounds]) for x in (best, n)]
         self.counted = np.concatenate([self.counted, np.stack(add, 1).astype(np.int64)])
-        ga, gb = np.concatenate([[0], ia[both] + 1]).tolist(), np.concatenate([[0], ib[both] + 1]).tolist()
-        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [",".join(sa[ga[i] : ga[i + 1]]) + "|" + ",".join(sb[gb[i] : gb[i + 1]]) for i in range(len(ga) - 1)]
-        upto = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        self.texts += [";".join(groups[x:y]) for x, y in zip(upto[:-1], upto[1:], strict=True)]
+        # each token with what follows it, in the order of the groups
+        ga, gb = np.concatenate([[0], ia[both] + 1]), np.concatenate([[0], ib[both] + 1])
+        of_a, of_b = np.repeat(np.arange(len(ga) - 1), np.diff(ga)), np.repeat(np.arange(len(gb) - 1), np.diff(gb))
+        flat = np.empty(len(a) + len(b), object)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[ga[1:] - 1], last_b[gb[1:] - 1] = True, True
+        flat[np.arange(len(a)) + gb[of_a]] = self.a_names[a + len(self.a_bytes) * last_a]
+        flat[np.arange(len(b)) + ga[of_b + 1]] = self.b_names[b + len(self.b_bytes) * last_b]
+        flat, upto = flat.tolist(), np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        self.texts += ["".join(flat[x:y])[:-1] for x, y in zip(upto[:-1], upto[1:], strict=True)]
 
     def places(self, texts: list[str | None], counts: PairCounts | None) -> list[np.ndarray]:
         """Where the memo has the units of each text. A text with a unit whose
         tokens do not give its bytes back is one unit of its own."""
         if len(self.index) > MEMO_UNITS or self.chars > MEMO_CHARS:
             self.clear()
+        collects = gc.isenabled()
+        gc.disable()  # a list for each unit and no cycles: the collector would walk them in vain
+        try:
+            return self._places(texts, counts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _places(self, texts: list[str | None], counts: PairCounts | None) -> list[np.ndarray]:
         words = [units(t or "") if self.by_unit else [t] if t else [] for t in texts]
         for again in (False, True):
-            missed = [u for u in dict.fromkeys(chain.from_iterable(words)) if u not in self.index]
+            flat = list(chain.from_iterable(words))
+            missed = [u for u in dict.fromkeys(flat) if u not in self.index]
             if missed:
                 self.learn(missed, counts)
-            out = [np.fromiter(map(self.index.__getitem__, w), np.int64, len(w)) for w in words]
+            found = map(self.index.__getitem__, flat)
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            out = np.split(np.fromiter(found, np.int64, len(flat)), np.cumsum(size)[:-1]) if words else []
             odd = [i for i, at in enumerate(out) if len(at) > 1 and self.bad[at].any()]
             if again or not odd:
                 return out

@@ -134,3 +134,23 @@ def test_lookup_of_pairs_that_no_document_holds(spark):
     a, b = A.encode(" the").ids[0], B.encode("the")[0]
     assert counts.lookup(np.array(sorted([0, a << 32 | b, 1 << 60]))).tolist() == [0, 2, 0]
     assert counts.best[a] == 2
+
+
+def test_tokens_are_named_in_one_line_of_their_groups():
+    """Groups come from one array of the tokens with their separators: as
+    spelled out token by token, for texts with any white space."""
+    al = align.Aligner(None, None)
+    texts = ["plain words, here: naïve 東京 x1y2", " a  b \n c", "tail ", "a　 b\x1f c", "", None, "Wörter\tund\r\nZeilen  ."]
+    counts = align.PairCounts("", [], np.zeros(len(al.a_bytes), np.int64))
+    for text, at in zip(texts, al.places(texts, counts), strict=True):
+        assert align.units(text or "") == ([] if not text else align._CUT.split(text))
+        if not len(at):
+            continue
+        groups = ";".join(al.texts[i] for i in at.tolist()).split(";")
+        sides = [g.split("|") for g in groups]
+        a, b = ([int(i) for s in sides for i in s[k].split(",")] for k in (0, 1))
+        assert a == al.a.encode(" " + text, add_special_tokens=False).ids and b == al.b.encode(text)
+        for x, y in sides:
+            assert sum(al.a_width[int(i)] for i in x.split(",")) == sum(al.b_width[int(i)] for i in y.split(","))
+        assert len(groups) == al.sums[at].sum(0)[2]
+    assert len(al.a_names) == 2 * len(al.a_bytes)
