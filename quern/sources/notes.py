@@ -179,8 +179,10 @@ def _with_commits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     yield end()
                 here, sha = block, None
             part = lines[lo:hi]
-            found = pc.if_else(pc.match_substring_regex(part, "^[0-9a-f]{40}$"), part, pa.scalar(None, pa.string()))
-            found = pc.fill_null(pc.fill_null_forward(found), pa.scalar(sha, pa.string()))
+            # by place: if_else garbles the strings of a slice that starts later than its batch
+            place = np.where(pc.match_substring_regex(part, "^[0-9a-f]{40}$").to_numpy(zero_copy_only=False), np.arange(hi - lo), -1)
+            place = np.maximum.accumulate(place)
+            found = pc.fill_null(part.take(pa.array(place, mask=place < 0)), pa.scalar(sha, pa.string()))
             sha = found[-1].as_py()
             changed = pc.starts_with(part, ":")
             kept = found.filter(changed)
