@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.linalg import components as dense
@@ -94,6 +95,22 @@ def test_coproduction_deals_its_pairs_by_their_number(spark, monkeypatch):
     assert {(r.u, r.v): r.w for r in got.collect()} == want
 
 
+def test_edges_are_sent_packed_and_counts_come_back_packed(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 60)
+    monkeypatch.setattr(graph, "PACKED_EDGES", 25)  # several rows for each two colours
+    rng = random.Random(8)
+    edges = [(f"n{u:02}", f"n{v:02}") for u in range(30) for v in range(u + 1, 30) if rng.random() < 0.4 or v < 8] + [("x", "y")]
+    df = spark.createDataFrame(edges, "u string, v string").repartition(3)
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    out = graph.forman(df)
+    assert sorted(map(tuple, out.collect())) == sorted((u, v, 4 - len(near[u]) - len(near[v]) + 3 * len(near[u] & near[v])) for u, v in edges)
+    sent = graph._in_thirds(df, lambda third: pa.table({"n": [len(third.code)]}), "n long")
+    assert "MapInArrow" in plan(sent) and "hashpartitioning(u" not in plan(graph._on_edges(df))
+
+
 def test_triangles_are_found_where_three_colours_meet(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK_EDGES", 150)
     monkeypatch.setattr(graph, "TASK_WEDGES", 40)
